@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ratio
@@ -22,6 +21,7 @@ from tidemark.session import cut
 # Names and sizes that the reports must carry.
 CLASS_NAMES = {0: "Stayed", 1: "Left"}
 RIDGE_C = 1.0
+TOLERANCE = 1e-9
 TOP_RISK = 50
 RISK_COLUMNS = (
     "employee_id", "department", "job_role", "monthly_income", "overtime",
@@ -38,14 +38,24 @@ NORMAL_975 = 1.959963984540054
 class Fitted:
     """What training leaves on the driver: scales, levels and coefficients."""
 
-    inputs: dict[str, Column]
-    model: LogisticRegressionModel
+    scales: dict[str, feat.Moments]
+    levels: dict[str, list[str]]
+    intercept: float
+    coefficients: dict[str, float]
     is_test: Column
 
+    def probability(self) -> Column:
+        """Chance of leaving as a plain expression; a level unseen in training adds nothing."""
+        parts = [F.lit(self.coefficients[n]) * m.scaled(n) for n, m in self.scales.items()]
+        for name, levels in self.levels.items():
+            known = {v: self.coefficients[f"{name}_{v}"] for v in levels if f"{name}_{v}" in self.coefficients}
+            if known:
+                per_level = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+                parts.append(F.coalesce(F.try_element_at(per_level, F.col(name).cast("string")), F.lit(0.0)))
+        return 1.0 / (1.0 + F.exp(-sum(parts, F.lit(self.intercept))))
+
     def score(self, employees: DataFrame) -> DataFrame:
-        """Add ``probability``, the modelled chance of leaving."""
-        scored = self.model.transform(_assembled(employees, self.inputs))
-        return scored.select(*employees.columns, vector_to_array("raw_probability")[1].alias("probability"))
+        return employees.withColumn("probability", self.probability())
 
 
 def _assembled(df: DataFrame, inputs: dict[str, Column], extra: dict[str, Column] | None = None) -> DataFrame:
@@ -73,25 +83,25 @@ def fit(employees: DataFrame, c: float = RIDGE_C, seed: int = feat.SPLIT_SEED) -
     scales = feat.moments(train, numeric)
     levels = feat.category_levels(train, categorical)
     inputs = {n: scales[n].scaled(n) for n in numeric} | feat.dummies(levels)
-    weights = {r[feat.LABEL]: r["weight"] for r in feat.class_weights(train).collect()}
-    total = train.count()
+    classes = feat.class_weights(train).collect()
+    total = sum(r["n"] for r in classes)
     weight = F.lit(1.0)
-    for value, w in weights.items():
-        weight = F.when(F.col(feat.LABEL) == value, F.lit(w)).otherwise(weight)
+    for r in classes:
+        weight = F.when(F.col(feat.LABEL) == r[feat.LABEL], F.lit(r["weight"])).otherwise(weight)
     ready = _assembled(train, inputs, {"label": left().cast("double"), "weight": weight}).select(
         "features", "label", "weight"
     )
     # balanced weights add up to the number of training rows
-    model = LogisticRegression(
+    found = LogisticRegression(
         weightCol="weight",
         regParam=1.0 / (c * total),
         elasticNetParam=0.0,
         standardization=False,
         maxIter=2000,
-        tol=1e-10,
-        probabilityCol="raw_probability",
+        tol=TOLERANCE,
     ).fit(ready)
-    return Fitted(inputs, model, is_test)
+    weights = dict(zip(inputs, map(float, found.coefficients.toArray())))
+    return Fitted(scales, levels, float(found.intercept), weights, is_test)
 
 
 def prepare(employees: DataFrame) -> DataFrame:
@@ -99,11 +109,10 @@ def prepare(employees: DataFrame) -> DataFrame:
     return cut(employees)
 
 
-def coefficients(fitted: Fitted, spark) -> DataFrame:
+def coefficients(fitted: Fitted, spark: SparkSession) -> DataFrame:
     """(feature, coef, odds_ratio) unrounded, one row per model input."""
-    pairs = [(n, float(b)) for n, b in zip(fitted.inputs, fitted.model.coefficients.toArray())]
     return spark.createDataFrame(
-        [(n, b, math.exp(b)) for n, b in pairs], "feature string, coef double, odds_ratio double"
+        [(n, b, math.exp(b)) for n, b in fitted.coefficients.items()], "feature string, coef double, odds_ratio double"
     )
 
 
@@ -111,8 +120,7 @@ def attrition_model(employees: DataFrame) -> DataFrame:
     """The fitted coefficients with the intercept."""
     ready = prepare(employees)
     fitted = fit(ready)
-    rows = [("(Intercept)", float(fitted.model.intercept))]
-    rows += [(n, float(b)) for n, b in zip(fitted.inputs, fitted.model.coefficients.toArray())]
+    rows = [("(Intercept)", fitted.intercept), *fitted.coefficients.items()]
     return employees.sparkSession.createDataFrame(rows, "feature string, coef double")
 
 
