@@ -41,8 +41,15 @@ def blank_to(text: str | Column, default: str) -> Column:
 
 
 def iso_date(text: str | Column) -> Column:
-    """DATE from ISO text; NULL, never an error, for anything else."""
-    return F.try_to_date(_col(text), "yyyy-MM-dd")
+    """DATE from ISO text, with or without a time after it; NULL, never an error, for anything else.
+
+    A cast parses much faster than a pattern but also takes shortened dates,
+    so the places of the two dashes are checked first.
+    """
+    t = _col(text)
+    dashed = (F.substring(t, 5, 1) == "-") & (F.substring(t, 8, 1) == "-")
+    whole = (F.length(t) == 10) | F.substring(t, 11, 1).isin("T", " ")
+    return F.when(dashed & whole, t.try_cast("date"))
 
 
 def month_key(day: str | Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 _ACCURACY = 10_000
 _MARGIN = 0.001  # ten times the error bound of the sketch at that accuracy
+_SALTS = 64
 
 
 def group_median(df: DataFrame, group: str, value: str, out: str = "median") -> DataFrame:
@@ -15,15 +16,22 @@ def group_median(df: DataFrame, group: str, value: str, out: str = "median") ->
     A mergeable quantile sketch brackets the middle of each group; only the
     values inside the bracket are then counted one by one, everything below it
     is one number. A group of n rows thus sends about 0.002 n counted values to
-    its window instead of all of them.
+    its window instead of all of them. Values meet their bracket by (group,
+    salt), so a dominant group is spread over ``_SALTS`` tasks there too.
     """
     known = df.select(F.col(group).alias("_g"), F.col(value).alias("_v")).where("_g IS NOT NULL AND _v IS NOT NULL")
-    bracket = known.groupBy(F.col("_g").alias("_bg")).agg(
-        F.percentile_approx("_v", [0.5 - _MARGIN, 0.5 + _MARGIN], _ACCURACY).alias("_b"),
-        F.count("_v").alias("_n"),
+    bracket = (
+        known.groupBy(F.col("_g").alias("_bg"))
+        .agg(
+            F.percentile_approx("_v", [0.5 - _MARGIN, 0.5 + _MARGIN], _ACCURACY).alias("_b"),
+            F.count("_v").alias("_n"),
+        )
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_bs"))
     )
+    salt = F.pmod(F.hash("_v"), F.lit(_SALTS))
     counted = (
-        known.join(bracket, F.col("_g") == F.col("_bg"))
+        known.withColumn("_s", salt)
+        .join(bracket, (F.col("_g") == F.col("_bg")) & (F.col("_s") == F.col("_bs")))
         .where(F.col("_v") <= F.col("_b")[1])
         .groupBy("_g", "_n", F.when(F.col("_v") >= F.col("_b")[0], F.col("_v")).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))

@@ -124,16 +124,11 @@ def clean_employees(raw: DataFrame, dedup_stage: str = "after") -> DataFrame:
 
 def cleaning_log(raw: DataFrame, dedup_stage: str = "after") -> DataFrame:
     """(metric, value): rows read, copies removed, incomes missing after that."""
-    kept = employee_records(raw, dedup_stage).agg(
-        rows().alias("kept"), F.count_if(F.col("monthly_income").isNull()).alias("missing_income")
-    )
+    n_raw = raw.agg(rows().alias("n")).scalar()
     return (
-        raw.agg(rows().alias("rows_raw"))
-        .select(
-            "rows_raw",
-            (F.col("rows_raw") - kept.select("kept").scalar()).alias("duplicates_removed"),
-            kept.select("missing_income").scalar().alias("missing_income"),
-        )
+        employee_records(raw, dedup_stage)
+        .agg(rows().alias("kept"), F.count_if(F.col("monthly_income").isNull()).alias("missing_income"))
+        .select(n_raw.alias("rows_raw"), "kept", "missing_income")
+        .select("rows_raw", (F.col("rows_raw") - F.col("kept")).alias("duplicates_removed"), "missing_income")
         .unpivot([], ["rows_raw", "duplicates_removed", "missing_income"], "metric", "value")
     )
-

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import month_number, percent, round_away, rows
 from tidemark.functions.ranking import number_rows, tile, tile_ends
-from tidemark.operators.fact import delivered
+from tidemark.operators.fact import DELIVERED, delivered
 from tidemark.session import cut
 
 # Segment names in the order they are tried, with lowest/highest scores (r, f, m).
@@ -29,22 +29,30 @@ _RFM_KEYS = {"r": ("recency_days", -1.0), "f": ("frequency", 1.0), "m": ("moneta
 def rfm_base(fact: DataFrame) -> DataFrame:
     """Recency, frequency and monetary value per customer with a delivered order.
 
-    Recency counts from the day after the last order of any state.
+    Recency counts from the day after the last order of any state. That day
+    comes out of the same pass: customers keep the last day of any order until
+    the table is computed, and the newest of those is one row.
     """
-    ref_day = F.date_add(fact.agg(F.max("order_date")).scalar(), 1)
-    return (
-        delivered(fact)
-        .groupBy("customer_id", "order_id")
-        .agg(F.max("order_date").alias("last_day"), F.sum("revenue").alias("revenue"))
-        .groupBy("customer_id")
-        .agg(F.max("last_day").alias("last_day"), F.count("order_id").alias("frequency"), F.sum("revenue").alias("revenue"))
-        .select(
-            "customer_id",
-            F.datediff(ref_day, "last_day").alias("recency_days"),
-            "frequency",
-            round_away("revenue").alias("monetary"),
+    is_delivered = F.col("status") == DELIVERED
+    per_order = fact.groupBy("customer_id", "order_id", is_delivered.alias("done")).agg(
+        F.max("order_date").alias("day"), F.sum("revenue").alias("revenue")
+    )
+    per_customer = cut(
+        per_order.groupBy("customer_id").agg(
+            F.max("day").alias("last_any"),
+            F.max(F.when(F.col("done"), F.col("day"))).alias("last_day"),
+            F.count(F.when(F.col("done"), F.col("order_id"))).alias("frequency"),
+            F.count_if("done").alias("groups"),
+            F.sum(F.when(F.col("done"), F.col("revenue"))).alias("revenue"),
         )
     )
+    ref_day = F.date_add(per_customer.agg(F.max("last_any")).scalar(), 1)
+    return per_customer.where(F.col("groups") > 0).select(
+        "customer_id",
+        F.datediff(ref_day, "last_day").alias("recency_days"),
+        "frequency",
+        round_away("revenue").alias("monetary"),
+    )
 
 
 def _segment() -> Column:
@@ -88,9 +96,8 @@ def score_tiles(df: DataFrame, keys: dict[str, tuple[str, float]], entity: str,
 
 
 def customer_rfm(fact: DataFrame) -> DataFrame:
-    base = cut(rfm_base(fact))
     return (
-        score_tiles(base, _RFM_KEYS, "customer_id")
+        score_tiles(rfm_base(fact), _RFM_KEYS, "customer_id")
         .withColumn("segment", _segment())
         .select("customer_id", "recency_days", "frequency", "monetary", "r_score", "f_score", "m_score", "segment")
     )

@@ -218,9 +218,10 @@ def odds_ratios_wald(employees: DataFrame) -> DataFrame:
     overtime = feat.dummies({"overtime": levels["overtime"]}, {"overtime": "No"}, sep="")
     department = feat.dummies({"department": levels["department"]}, sep="")
     inputs = overtime | numbers | department
-    train = _assembled(ready, inputs, {"label": left().cast("double")}).select("features", "label")
+    train = _assembled(ready, inputs, {"label": left().cast("double")}).select("features", "label").persist()
     glm = GeneralizedLinearRegression(family="binomial", link="logit", regParam=0.0, maxIter=50, tol=1e-10).fit(train)
     errors = glm.summary.coefficientStandardErrors  # the intercept's comes last
+    train.unpersist()
     found = []
     for term, b, se in zip(inputs, glm.coefficients.toArray(), errors):
         b, reach = float(b), NORMAL_975 * float(se)

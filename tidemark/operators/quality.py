@@ -28,16 +28,15 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
 
 
 def null_counts(df: DataFrame, key: str) -> DataFrame:
-    """One row: rows, repeated keys, and a ``null_<column>`` count for every column."""
-    nulls = [f"null_{c}" for c in df.columns]
-    per_key = df.groupBy(key).agg(
-        rows().alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in df.columns]
-    )
-    return per_key.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        (F.coalesce(F.sum("n"), F.lit(0)) - F.count(key)).alias("repeated_keys"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in nulls],
-    )
+    """One row: rows, repeated keys, and a ``null_<column>`` count for every column.
+
+    The NULL counts need no shuffle and only the keys are grouped, so the
+    columns never travel.
+    """
+    repeated = duplicate_keys(df, key).scalar()
+    return df.agg(
+        rows().alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in df.columns]
+    ).select("rows", repeated.alias("repeated_keys"), *[f"null_{c}" for c in df.columns])
 
 
 def require_valid(df: DataFrame, key: str, optional: Sequence[str] = ()) -> dict[str, int]:

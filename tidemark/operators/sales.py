@@ -187,11 +187,15 @@ def top_customers(fact: DataFrame, k: int = 10) -> DataFrame:
 
 
 def customer_order_detail(fact: DataFrame, k: int = 10) -> DataFrame:
-    """Delivered lines of the k top customers; k ids is all that is broadcast."""
-    chosen = top_customers(fact, k).select("customer_id")
+    """Delivered lines of the k top customers.
+
+    The k ids are fetched first: as literals they filter customers and orders
+    at the scan, before any line is joined.
+    """
+    chosen = [row["customer_id"] for row in top_customers(fact, k).select("customer_id").collect()]
     return (
         delivered(fact)
-        .join(F.broadcast(chosen), "customer_id", "left_semi")
+        .where(F.col("customer_id").isin(chosen))
         .select(
             "customer_id", "order_id", "order_date", "product_id", "product_name",
             "category", "quantity", "discount_pct", "revenue", "profit",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import portable, round_away
 from tidemark.operators import calendar, cleaning, customers, fact, features, model, quality, sales, stats, workforce
 from tidemark.plans import catalogue, oracle, slices
-from tidemark.session import cut, scratch_path
+from tidemark.session import cut, scratch_path, tune
 from tidemark.sources import given_tables as given
 from tidemark.sources import sinks
 
@@ -207,7 +207,11 @@ _QUERIES: dict[str, Query] = {
 
 
 def _portable(query: Query) -> Query:
-    return lambda spark, sf_dir: portable(query(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tune(spark)
+        return portable(query(spark, sf_dir))
+
+    return run
 
 
 def queries() -> dict[str, Query]:

@@ -26,6 +26,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def tune(spark: SparkSession) -> None:
+    """Let Spark split a skewed join even where that costs one more shuffle afterwards.
+
+    Without it a hot order stays in one task when its group-by could reuse the
+    join's partitioning.
+    """
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
