@@ -20,6 +20,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # a table near the default 10 MB holds enough rows that one task building its hash table is slower than a shuffle
+        .config("spark.sql.autoBroadcastJoinThreshold", "2m")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
