@@ -44,6 +44,6 @@ def one_sided_twice(z: float) -> float:
 
 def with_p(results: DataFrame, p_of: Callable[[Row], float]) -> DataFrame:
     """Add ``p_value`` to a result table that holds one row per test."""
-    done = [(*row, None if None in row else p_of(row)) for row in results.collect()]
+    done = [(*row, None if any(v is None for v in row) else p_of(row)) for row in results.collect()]
     schema = T.StructType([*results.schema.fields, T.StructField("p_value", T.DoubleType(), True)])
     return results.sparkSession.createDataFrame(done, schema)

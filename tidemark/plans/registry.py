@@ -94,11 +94,17 @@ def _rounded(report: Callable[[DataFrame], DataFrame], places: int) -> Callable[
 
     def run(df: DataFrame) -> DataFrame:
         out = report(df)
-        return out.select(*[round_away(c, places).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+        rounded = {c for c, t in out.dtypes if t == "double" and c != "p_value"}
+        return out.select(*[round_away(c, places).alias(c) if c in rounded else F.col(c) for c in out.columns])
 
     return run
 
 
+def _p_as_text(report: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Seven digits of the p-value, which may be far below any fixed number of places."""
+    return lambda df: report(df).withColumn("p_value", F.format_string("%.6e", "p_value"))
+
+
 def _numeric(employees: DataFrame) -> list[str]:
     return features.column_kinds(employees)[0]
 
@@ -180,9 +186,9 @@ _QUERIES: dict[str, Query] = {
     "income_relative_log": _on_staff_once(_rounded(workforce.income_relative_log, 9)),
     # statistics
     "chi_square_test": _on_staff(stats.chi_square_test),
-    "chi_square_p": _on_staff(stats.chi_square_p_values),
+    "chi_square_p": _on_staff(_p_as_text(_rounded(stats.chi_square_p_values, 6))),
     "mann_whitney_u": _on_staff(stats.mann_whitney_test),
-    "wilcox_w": _on_staff(lambda e: stats.wilcox_w(e).select("w")),
+    "wilcox_w": _on_staff(_p_as_text(stats.wilcox_w)),
     "statistical_tests": _on_staff_once(stats.statistical_tests),
     # model
     "feature_split": _on_staff(features.feature_split),
