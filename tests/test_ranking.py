@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import ranking
+from tidemark.functions import joins, ranking
 from tidemark.functions.medians import group_median
 from tidemark.operators.customers import score_tiles
 
@@ -79,8 +79,8 @@ def test_small_side_marks_only_small_tables(spark):
     def plan(df):
         return df._jdf.queryExecution().analyzed().toString()
 
-    assert "broadcast" in plan(ranking.small_side(spark.range(10), 10))
-    assert "broadcast" not in plan(ranking.small_side(spark.range(11), 10))
+    assert "broadcast" in plan(joins.small_side(spark.range(10), 10))
+    assert "broadcast" not in plan(joins.small_side(spark.range(11), 10))
 
 
 def test_group_median_is_exact(spark, skewed):
@@ -101,3 +101,14 @@ def test_group_median_small_groups(spark, n):
     vals = sorted(float(i * i) for i in range(n))
     want = (vals[(n - 1) // 2] + vals[n // 2]) / 2
     assert group_median(df, "g", "v", "m").first()["m"] == want
+
+
+@pytest.mark.parametrize("limit", [1, 1000])
+def test_group_join_either_way(spark, skewed, monkeypatch, limit):
+    monkeypatch.setattr(joins, "SMALL_ROWS", limit)
+    per_group = skewed.groupBy("g").agg(F.count("*").alias("n"))
+    got = joins.group_join(skewed, per_group, "g", "id")
+    sizes = {r["g"]: r["n"] for r in per_group.collect()}
+    sizes[None] = None  # an unknown group has no value
+    assert got.count() == 6000
+    assert {(r["g"], r["n"]) for r in got.select("g", "n").distinct().collect()} == set(sizes.items())

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import SALTS
+
 _ACCURACY = 10_000
 _MARGIN = 0.001  # ten times the error bound of the sketch at that accuracy
-_SALTS = 64
 
 
 def group_median(df: DataFrame, group: str, value: str, out: str = "median") -> DataFrame:
@@ -17,7 +18,7 @@ def group_median(df: DataFrame, group: str, value: str, out: str = "median") ->
     values inside the bracket are then counted one by one, everything below it
     is one number. A group of n rows thus sends about 0.002 n counted values to
     its window instead of all of them. Values meet their bracket by (group,
-    salt), so a dominant group is spread over ``_SALTS`` tasks there too.
+    salt), so a dominant group is spread over ``joins.SALTS`` tasks there too.
     """
     known = df.select(F.col(group).alias("_g"), F.col(value).alias("_v")).where("_g IS NOT NULL AND _v IS NOT NULL")
     bracket = (
@@ -26,9 +27,9 @@ def group_median(df: DataFrame, group: str, value: str, out: str = "median") ->
             F.percentile_approx("_v", [0.5 - _MARGIN, 0.5 + _MARGIN], _ACCURACY).alias("_b"),
             F.count("_v").alias("_n"),
         )
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_bs"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_bs"))
     )
-    salt = F.pmod(F.hash("_v"), F.lit(_SALTS))
+    salt = F.pmod(F.hash("_v"), F.lit(SALTS))
     counted = (
         known.withColumn("_s", salt)
         .join(bracket, (F.col("_g") == F.col("_bg")) & (F.col("_s") == F.col("_bs")))

@@ -15,19 +15,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import SMALL_ROWS, cut
+from tidemark.functions.joins import small_side
+from tidemark.session import cut
 
 _SLICE_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
-def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it is proven to hold at most ``limit`` rows."""
-    got = df.limit(limit + 1).collect()
-    if len(got) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(got, df.schema))
-
-
 def _sliced(df: DataFrame, sort: Sequence[Column]) -> DataFrame:
     """Sort over the cluster, then keep each row's slice and place in it."""
     at = F.col("_at")

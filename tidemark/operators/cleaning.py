@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import blank_to, iso_date, proper_first, rows, title_words
+from tidemark.functions.joins import small_side, spread_join
 from tidemark.functions.medians import group_median
-from tidemark.functions.ranking import small_side
 
 # Spellings and codes that the cleaned tables must carry.
 UNKNOWN_SHIP_MODE = "Unknown"
@@ -110,9 +110,10 @@ def employee_records(raw: DataFrame, dedup_stage: str = "after") -> DataFrame:
 
 def impute_income(records: DataFrame) -> DataFrame:
     """Fill missing incomes with the median income of the same job role."""
+    medians = group_median(records, "job_role", "monthly_income", "role_median")
     filled = F.coalesce(F.col("monthly_income"), F.col("role_median"))
     return (
-        records.join(group_median(records, "job_role", "monthly_income", "role_median"), "job_role", "left")
+        spread_join(records, medians, "job_role", "employee_id")
         .withColumn("monthly_income", filled)
         .select(*records.columns)
     )

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import percent, ratio, round_away, rows
+from tidemark.functions.joins import group_join
 from tidemark.functions.medians import group_median
-from tidemark.functions.ranking import number_rows, small_side, tile
+from tidemark.functions.ranking import number_rows, tile
 
 # The label's positive answer, and the names of bands and groups.
 LEFT = "Yes"
@@ -150,7 +151,8 @@ def risk_points(employees: DataFrame, benchmark: str = "avg", low_pay: float = 0
         (F.col("years_at_company") <= 2, 1),
     )
     points = sum((F.when(sign, p).otherwise(0) for sign, p in signs), F.lit(0))
-    return employees.join(small_side(pay), "department").withColumn("risk_points", points).drop("usual_pay")
+    known = employees.where("department IS NOT NULL")
+    return group_join(known, pay, "department", "employee_id").withColumn("risk_points", points).drop("usual_pay")
 
 
 def rule_based_risk_flags(employees: DataFrame, k: int = 50, benchmark: str = "avg") -> DataFrame:
@@ -284,6 +286,6 @@ def income_relative_log(employees: DataFrame) -> DataFrame:
     """ln(income / median income of the department); NULL unless the ratio is positive."""
     usual = group_median(employees, "department", "monthly_income", "usual_pay")
     rel = ratio("monthly_income", "usual_pay")
-    return employees.join(small_side(usual), "department", "left").select(
+    return group_join(employees, usual, "department", "employee_id").select(
         "employee_id", F.when(rel > 0, F.ln(rel)).alias("income_log_ratio")
     )

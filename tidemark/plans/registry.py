@@ -33,6 +33,11 @@ def _on_staff(report: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: report(_employees(spark, sf_dir))
 
 
+def _on_records(report: Callable[[DataFrame], DataFrame]) -> Query:
+    """For reports that never look at pay: the same employees without the medians."""
+    return lambda spark, sf_dir: report(cleaning.employee_records(given.raw_employees(spark, sf_dir)))
+
+
 def _on_staff_once(report: Callable[[DataFrame], DataFrame]) -> Query:
     """For reports that read their input in several passes."""
     return lambda spark, sf_dir: report(cut(_employees(spark, sf_dir)))
@@ -162,31 +167,31 @@ _QUERIES: dict[str, Query] = {
     "annual_growth": _on_fact(calendar.annual_growth),
     "revenue_ytd": _on_fact(calendar.revenue_ytd),
     # workforce
-    "attrition_overall": _on_staff(workforce.attrition_overall),
-    "attrition_by_department": _on_staff(workforce.attrition_by_department),
-    "attrition_by_overtime": _on_staff(workforce.attrition_by_overtime),
-    "attrition_by_tenure_band": _on_staff(workforce.attrition_by_tenure_band),
+    "attrition_overall": _on_records(workforce.attrition_overall),
+    "attrition_by_department": _on_records(workforce.attrition_by_department),
+    "attrition_by_overtime": _on_records(workforce.attrition_by_overtime),
+    "attrition_by_tenure_band": _on_records(workforce.attrition_by_tenure_band),
     "attrition_by_income_quartile": _on_staff(workforce.attrition_by_income_quartile),
-    "attrition_by_satisfaction": _on_staff(workforce.attrition_by_satisfaction),
-    "attrition_by_promotion_gap": _on_staff(workforce.attrition_by_promotion_gap),
+    "attrition_by_satisfaction": _on_records(workforce.attrition_by_satisfaction),
+    "attrition_by_promotion_gap": _on_records(workforce.attrition_by_promotion_gap),
     "attrition_cost_by_department": _on_staff(workforce.attrition_cost_by_department),
     "rule_based_risk_flags": _on_staff_once(workforce.rule_based_risk_flags),
-    "tenure_band_cut": _on_staff(workforce.tenure_band_cut),
+    "tenure_band_cut": _on_records(workforce.tenure_band_cut),
     "workforce_kpis": _on_staff(workforce.workforce_kpis),
-    "attrition_blocks": _on_staff(workforce.attrition_blocks),
-    "attrition_vs_average": _on_staff(workforce.attrition_vs_average),
-    "attrition_by_age_group": _on_staff(workforce.attrition_by_age_group),
-    "department_attrition_pivot": _on_staff(workforce.department_attrition_pivot),
+    "attrition_blocks": _on_records(workforce.attrition_blocks),
+    "attrition_vs_average": _on_records(workforce.attrition_vs_average),
+    "attrition_by_age_group": _on_records(workforce.attrition_by_age_group),
+    "department_attrition_pivot": _on_records(workforce.department_attrition_pivot),
     "sliced_attrition": _on_staff(
         lambda e: workforce.sliced_attrition(
             e, slices.DEPARTMENTS, slices.OVERTIME, slices.TENURE_BANDS, slices.SATISFACTION
         )
     ),
-    "promotion_gap_confounding": _on_staff(workforce.promotion_gap_confounding),
+    "promotion_gap_confounding": _on_records(workforce.promotion_gap_confounding),
     "income_relative_log": _on_staff_once(_rounded(workforce.income_relative_log, 9)),
     # statistics
-    "chi_square_test": _on_staff(stats.chi_square_test),
-    "chi_square_p": _on_staff(_p_as_text(_rounded(stats.chi_square_p_values, 6))),
+    "chi_square_test": _on_records(stats.chi_square_test),
+    "chi_square_p": _on_records(_p_as_text(_rounded(stats.chi_square_p_values, 6))),
     "mann_whitney_u": _on_staff(stats.mann_whitney_test),
     "wilcox_w": _on_staff(_p_as_text(stats.wilcox_w)),
     "statistical_tests": _on_staff_once(stats.statistical_tests),
@@ -194,9 +199,9 @@ _QUERIES: dict[str, Query] = {
     "feature_split": _on_staff(features.feature_split),
     "standardize": _on_staff_once(_rounded(lambda e: features.standardize(e, _numeric(e)), 6)),
     "scale_sample": _on_staff_once(_rounded(lambda e: features.standardize(e, ["monthly_income"], sample=True), 6)),
-    "one_hot_drop_first": _on_staff_once(_dummies),
-    "stratified_split": _on_staff_once(features.stratified_split),
-    "class_weights": _on_staff(features.class_weights),
+    "one_hot_drop_first": lambda s, d: _dummies(cut(cleaning.employee_records(given.raw_employees(s, d)))),
+    "stratified_split": lambda s, d: features.stratified_split(cut(cleaning.employee_records(given.raw_employees(s, d)))),
+    "class_weights": _on_records(features.class_weights),
     "attrition_model": _on_staff(model.attrition_model),
     "attrition_probability": _on_staff(model.attrition_probability),
     "roc_auc": _on_staff_once(lambda e: model.roc_auc(workforce.risk_points(e), "risk_points", workforce.left())),
