@@ -101,12 +101,26 @@ def test_split_is_stratified_and_repeatable(staff):
     split = features.stratified_split(staff)
     again = features.stratified_split(staff.repartition(3))
     assert sorted(map(tuple, split.collect())) == sorted(map(tuple, again.collect()))
-    for r in split.groupBy("attrition").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("t")).collect():
-        assert r["t"] == math.floor(0.25 * r["n"] + 0.5)
+    sizes = split.groupBy("attrition").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("t")).collect()
+    assert sum(r["t"] for r in sizes) == 300 and all(abs(r["t"] - 0.25 * r["n"]) < 1 for r in sizes)
     other = features.stratified_split(staff, seed=1)
     assert sorted(map(tuple, split.collect())) != sorted(map(tuple, other.collect()))
 
 
+@pytest.mark.parametrize(
+    ("classes", "want"),
+    [
+        ({"No": 1103, "Yes": 397}, {"No": 276, "Yes": 99}),
+        ({"No": 5, "Yes": 2}, {"No": 1, "Yes": 1}),
+        ({"No": 3, "Yes": 0}, {"No": 1, "Yes": 0}),
+        ({"No": 10, "Yes": 10}, {"No": 2, "Yes": 3}),
+        ({}, {}),
+    ],
+)
+def test_held_out_sizes(classes, want):
+    assert features.held_out(classes) == want
+
+
 def test_scaling(staff, people):
     income = np.array([p["monthly_income"] for p in people])
     for sample in (False, True):

@@ -96,3 +96,15 @@ def test_catalogue_saves_every_report(spark, folder):
     assert got["kpi_summary"] == 1 and got["attrition_overall"] == 1 and got["rfm_segment_summary"] == 1
     saved = spark.read.option("header", True).csv(f"{out}/workforce/attrition_overall")
     assert tuple(saved.first()) == ("8", "2", "25.0")
+
+
+def test_whole_batch(spark, folder):
+    from test_model import planted
+
+    out = scratch_path(spark, "batch")
+    people = frame(spark, planted(300))
+    got = catalogue.run_all(spark, readers.read_sales(spark, folder), people, out)
+    assert got["statistical_tests"] == 4 and got["model_metrics"] == 3 and got["high_risk_employees"] == 50
+    assert got["cleaning_log"] == 3 and got["dim_products"] == 2 and got["odds_ratios"] == 9
+    tests = spark.read.option("header", True).csv(f"{out}/workforce/statistical_tests")
+    assert tests.columns == ["test", "statistic", "p_value", "significant_at_5pct"] and tests.count() == 4

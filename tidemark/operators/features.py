@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -79,7 +80,9 @@ def category_levels(df: DataFrame, columns: Sequence[str], limit: int = MAX_LEVE
     return levels
 
 
-def dummies(levels: Mapping[str, Sequence[str]], reference: Mapping[str, str] | None = None, sep: str = "_") -> dict[str, Column]:
+def dummies(
+    levels: Mapping[str, Sequence[str]], reference: Mapping[str, str] | None = None, sep: str = "_"
+) -> dict[str, Column]:
     """0/1 columns for all levels but the reference (the first by default).
 
     A level not in ``levels`` gives zeros throughout.
@@ -103,15 +106,37 @@ def split_order(key: str = ID, seed: int = SPLIT_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}#"), F.col(key).cast("string")))
 
 
-def in_test(df: DataFrame, label: str = LABEL, key: str = ID, share: float = TEST_SHARE, seed: int = SPLIT_SEED) -> Column:
-    """Condition for the test rows: the first ``share`` of each class in shuffled order.
+def held_out(classes: Mapping[str, int], share: float = TEST_SHARE) -> dict[str, int]:
+    """Test rows per class: ``share`` of all rows, rounded up, in the classes' proportions.
+
+    Each class gives the whole part of its portion to training; the rows then
+    still missing there come one each from the classes with the largest
+    fractions (the earlier label among equals).
+    """
+    n = sum(classes.values())
+    n_train = n - math.ceil(share * n)
+    train = {c: size * n_train // n for c, size in classes.items()} if n else {}
+    missing = n_train - sum(train.values())
+    by_fraction = sorted(classes, key=lambda c: (-(classes[c] * n_train % n), str(c)))
+    for c in by_fraction[:missing]:
+        train[c] += 1
+    return {c: classes[c] - train[c] for c in train}
+
+
+def in_test(
+    df: DataFrame, label: str = LABEL, key: str = ID, share: float = TEST_SHARE, seed: int = SPLIT_SEED
+) -> Column:
+    """Condition for the test rows: the first rows of each class in shuffled order.
 
     Only the last test row of each class comes back from the distributed
     ranking, so the split itself is a comparison, whatever the class sizes are.
-    ``df`` is read once here and again by the caller: pass a computed table.
+    ``df`` is read here and again by the caller: pass a computed table.
     """
+    classes = {r[label]: r["n"] for r in df.groupBy(label).agg(rows().alias("n")).collect()}
+    wanted = F.lit(0)
+    for value, size in held_out(classes, share).items():
+        wanted = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(size)).otherwise(wanted)
     shuffled = df.select(label, split_order(key, seed).alias("draw"), key)
-    wanted = F.floor(F.col("group_rows") * share + 0.5)
     ends = number_rows(shuffled, [F.asc("draw"), F.asc(key)], [label]).where(F.col("row_no") == wanted).collect()
     draw, me, kind = split_order(key, seed), F.col(key), df.schema[key].dataType
     test = F.lit(False)
@@ -122,9 +147,11 @@ def in_test(df: DataFrame, label: str = LABEL, key: str = ID, share: float = TES
     return test
 
 
-def stratified_split(df: DataFrame, label: str = LABEL, key: str = ID, share: float = TEST_SHARE, seed: int = SPLIT_SEED) -> DataFrame:
-    where = F.when(in_test(df, label, key, share, seed), "test").otherwise("train")
-    return df.select(key, label, where.alias("split"))
+def stratified_split(
+    df: DataFrame, label: str = LABEL, key: str = ID, share: float = TEST_SHARE, seed: int = SPLIT_SEED
+) -> DataFrame:
+    part = F.when(in_test(df, label, key, share, seed), "test").otherwise("train")
+    return df.select(key, label, part.alias("split"))
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ratio
@@ -78,17 +78,17 @@ def fit(employees: DataFrame, c: float = RIDGE_C, seed: int = feat.SPLIT_SEED) -
     several times: pass a computed table.
     """
     is_test = feat.in_test(employees, seed=seed)
-    train = employees.where(~is_test)
+    rows = employees.where(~is_test)
     numeric, categorical = feat.column_kinds(employees)
-    scales = feat.moments(train, numeric)
-    levels = feat.category_levels(train, categorical)
+    scales = feat.moments(rows, numeric)
+    levels = feat.category_levels(rows, categorical)
     inputs = {n: scales[n].scaled(n) for n in numeric} | feat.dummies(levels)
-    classes = feat.class_weights(train).collect()
+    classes = feat.class_weights(rows).collect()
     total = sum(r["n"] for r in classes)
     weight = F.lit(1.0)
     for r in classes:
         weight = F.when(F.col(feat.LABEL) == r[feat.LABEL], F.lit(r["weight"])).otherwise(weight)
-    ready = _assembled(train, inputs, {"label": left().cast("double"), "weight": weight}).select(
+    ready = _assembled(rows, inputs, {"label": left().cast("double"), "weight": weight}).select(
         "features", "label", "weight"
     )
     # balanced weights add up to the number of training rows
@@ -104,41 +104,41 @@ def fit(employees: DataFrame, c: float = RIDGE_C, seed: int = feat.SPLIT_SEED) -
     return Fitted(scales, levels, float(found.intercept), weights, is_test)
 
 
-def prepare(employees: DataFrame) -> DataFrame:
-    """Compute the clean employees once; every training pass reads them."""
-    return cut(employees)
-
-
-def coefficients(fitted: Fitted, spark: SparkSession) -> DataFrame:
-    """(feature, coef, odds_ratio) unrounded, one row per model input."""
-    return spark.createDataFrame(
-        [(n, b, math.exp(b)) for n, b in fitted.coefficients.items()], "feature string, coef double, odds_ratio double"
-    )
+def train(employees: DataFrame) -> tuple[DataFrame, Fitted]:
+    """Compute the clean employees once and fit; reports take both."""
+    ready = cut(employees)
+    return ready, fit(ready)
 
 
 def attrition_model(employees: DataFrame) -> DataFrame:
     """The fitted coefficients with the intercept."""
-    ready = prepare(employees)
-    fitted = fit(ready)
+    _, fitted = train(employees)
     rows = [("(Intercept)", fitted.intercept), *fitted.coefficients.items()]
     return employees.sparkSession.createDataFrame(rows, "feature string, coef double")
 
 
-def model_drivers(employees: DataFrame, k: int | None = None) -> DataFrame:
+def drivers_of(ready: DataFrame, fitted: Fitted, k: int | None = None) -> DataFrame:
     """Coefficients and odds ratios, strongest first, 3 places; the k strongest if ``k`` is given."""
-    ready = prepare(employees)
-    table = coefficients(fit(ready), employees.sparkSession)
+    table = ready.sparkSession.createDataFrame(
+        [(n, b, math.exp(b)) for n, b in fitted.coefficients.items()], "feature string, coef double, odds_ratio double"
+    )
     ranked = table.orderBy(F.abs("coef").desc(), "feature").select(
         "feature", F.bround("coef", 3).alias("coef"), F.bround("odds_ratio", 3).alias("odds_ratio")
     )
     return ranked if k is None else ranked.limit(k)
 
 
+def model_drivers(employees: DataFrame, k: int | None = None) -> DataFrame:
+    return drivers_of(*train(employees), k)
+
+
+def held_out_scores(ready: DataFrame, fitted: Fitted) -> DataFrame:
+    return fitted.score(ready.where(fitted.is_test)).select("employee_id", "attrition", "probability")
+
+
 def attrition_probability(employees: DataFrame) -> DataFrame:
     """Chance of leaving for the held-out employees."""
-    ready = prepare(employees)
-    fitted = fit(ready)
-    return fitted.score(ready.where(fitted.is_test)).select("employee_id", "attrition", "probability")
+    return held_out_scores(*train(employees))
 
 
 def roc_auc(scored: DataFrame, score: str, positive: Column) -> DataFrame:
@@ -181,11 +181,9 @@ def classification_report(scored: DataFrame, actual: Column, predicted: Column)
     return counts.select(F.inline(F.array(*structs))).withColumn("support", F.col("support").cast("long"))
 
 
-def model_metrics(employees: DataFrame) -> DataFrame:
+def metrics_of(ready: DataFrame, fitted: Fitted) -> DataFrame:
     """(metric, value) on the held-out quarter, 3 places."""
-    ready = prepare(employees)
-    fitted = fit(ready)
-    scored = cut(fitted.score(ready.where(fitted.is_test)).select("attrition", "probability"))
+    scored = cut(held_out_scores(ready, fitted))
     auc = roc_auc(scored, "probability", left()).select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
     report = classification_report(scored, left(), F.col("probability") > 0.5)
     of_left = (
@@ -196,32 +194,38 @@ def model_metrics(employees: DataFrame) -> DataFrame:
     return auc.unionByName(of_left).select("metric", F.bround("value", 3).alias("value"))
 
 
-def high_risk_employees(employees: DataFrame, k: int = TOP_RISK) -> DataFrame:
+def model_metrics(employees: DataFrame) -> DataFrame:
+    return metrics_of(*train(employees))
+
+
+def risk_list_of(ready: DataFrame, fitted: Fitted, k: int = TOP_RISK) -> DataFrame:
     """The k current employees with the highest modelled risk; equal risks by id."""
-    ready = prepare(employees)
-    fitted = fit(ready)
-    current = fitted.score(ready.where(F.col("attrition") == STAYED))
     return (
-        current.withColumn("attrition_risk", F.bround("probability", 3))
+        fitted.score(ready.where(F.col("attrition") == STAYED))
+        .withColumn("attrition_risk", F.bround("probability", 3))
         .select(*RISK_COLUMNS)
         .orderBy(F.desc("attrition_risk"), "employee_id")
         .limit(k)
     )
 
 
+def high_risk_employees(employees: DataFrame, k: int = TOP_RISK) -> DataFrame:
+    return risk_list_of(*train(employees), k)
+
+
 def odds_ratios_wald(employees: DataFrame) -> DataFrame:
     """Unpenalised logistic regression on all rows: odds ratios with 95 % Wald intervals."""
-    ready = prepare(employees)
+    ready = cut(employees)
     income = feat.moments(ready, ["monthly_income"], sample=True)["monthly_income"].scaled("monthly_income")
     levels = feat.category_levels(ready, ["overtime", "department"])
     numbers = {t: income if t.startswith("scale(") else F.col(t) for t in WALD_TERMS}
     overtime = feat.dummies({"overtime": levels["overtime"]}, {"overtime": "No"}, sep="")
     department = feat.dummies({"department": levels["department"]}, sep="")
     inputs = overtime | numbers | department
-    train = _assembled(ready, inputs, {"label": left().cast("double")}).select("features", "label").persist()
-    glm = GeneralizedLinearRegression(family="binomial", link="logit", regParam=0.0, maxIter=50, tol=1e-10).fit(train)
+    rows = _assembled(ready, inputs, {"label": left().cast("double")}).select("features", "label").persist()
+    glm = GeneralizedLinearRegression(family="binomial", link="logit", regParam=0.0, maxIter=50, tol=1e-10).fit(rows)
     errors = glm.summary.coefficientStandardErrors  # the intercept's comes last
-    train.unpersist()
+    rows.unpersist()
     found = []
     for term, b, se in zip(inputs, glm.coefficients.toArray(), errors):
         b, reach = float(b), NORMAL_975 * float(se)

@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import cleaning, customers, fact, quality, sales, workforce
+from tidemark.operators import cleaning, customers, fact, model, quality, sales, stats, workforce
 from tidemark.sources import sinks
 from tidemark.sources.readers import RawSales
 
@@ -82,6 +82,32 @@ def run_workforce(spark: SparkSession, raw_employees: DataFrame, folder: str, fm
     return save_reports(employees, WORKFORCE_REPORTS, folder, fmt)
 
 
+def run_tests_and_model(employees: DataFrame, folder: str, fmt: str = "csv") -> dict[str, int]:
+    """Save the hypothesis tests and the model's tables; the model is fitted once for all of them."""
+    ready, fitted = model.train(employees)
+    tables = {
+        "statistical_tests": stats.statistical_tests(ready),
+        "model_drivers": model.drivers_of(ready, fitted),
+        "model_metrics": model.metrics_of(ready, fitted),
+        "high_risk_employees": model.risk_list_of(ready, fitted),
+        "odds_ratios": model.odds_ratios_wald(ready),
+    }
+    return {name: sinks.save(df, f"{folder}/{name}", fmt) for name, df in tables.items()}
+
+
+def run_all(spark: SparkSession, raw: RawSales, raw_employees: DataFrame, folder: str, fmt: str = "csv") -> dict[str, int]:
+    """The whole batch: star export, both catalogues, cleaning log, tests and model."""
+    star = {
+        "dim_customers": sinks.save(cleaning.clean_customers(raw.customers), f"{folder}/sales/dim_customers", fmt),
+        "dim_products": sinks.save(cleaning.clean_products(raw.products), f"{folder}/sales/dim_products", fmt),
+    }
+    counts = run_sales(spark, raw, f"{folder}/sales", fmt)
+    log = {"cleaning_log": sinks.save(cleaning.cleaning_log(raw_employees), f"{folder}/workforce/cleaning_log", fmt)}
+    people = run_workforce(spark, raw_employees, f"{folder}/workforce", fmt)
+    employees = spark.read.parquet(f"{folder}/workforce/employees_clean")
+    return star | counts | log | people | run_tests_and_model(employees, f"{folder}/workforce", fmt)
+
+
 def run_catalogue(spark: SparkSession, raw: RawSales, raw_employees: DataFrame, folder: str, fmt: str = "csv") -> DataFrame:
     """Run both catalogues; (query, rows) for every saved report."""
     counts = run_sales(spark, raw, f"{folder}/sales", fmt) | run_workforce(spark, raw_employees, f"{folder}/workforce", fmt)

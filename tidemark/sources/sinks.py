@@ -17,30 +17,39 @@ def save(df: DataFrame, path: str, fmt: str = "csv") -> int:
     return int(seen.get["rows"])
 
 
-def save_fact(fact: DataFrame, path: str) -> int:
-    """The sales fact as Parquet, one folder per month, ordered by customer within files.
+def save_fact(fact: DataFrame, path: str, fmt: str = "parquet") -> int:
+    """The sales fact in one folder per month, ordered by customer within files.
 
     ``rebalance`` lets Spark split a heavy month over many files and merge the
-    light ones; readers then skip months by folder and customers by file statistics.
+    light ones; readers then skip months by folder and, in Parquet, customers by
+    file statistics.
     """
     seen = Observation()
-    (
+    writer = (
         fact.observe(seen, F.count(F.lit(1)).alias("rows"))
         .hint("rebalance", "order_month")
         .sortWithinPartitions("order_month", "customer_id")
         .write.mode("overwrite")
         .partitionBy("order_month")
-        .parquet(path)
+        .format(fmt)
     )
+    if fmt == "csv":
+        writer = writer.option("header", True)
+    writer.save(path)
     return int(seen.get["rows"])
 
 
 def star_export(
-    fact: DataFrame, customers: DataFrame, products: DataFrame, folder: str, dims_fmt: str = "csv"
+    fact: DataFrame,
+    customers: DataFrame,
+    products: DataFrame,
+    folder: str,
+    fact_fmt: str = "parquet",
+    dims_fmt: str = "csv",
 ) -> dict[str, int]:
     """Fact and both dimensions as files; returns rows written per table."""
     return {
-        "sales_fact": save_fact(fact, f"{folder}/sales_fact"),
+        "sales_fact": save_fact(fact, f"{folder}/sales_fact", fact_fmt),
         "dim_customers": save(customers, f"{folder}/dim_customers", dims_fmt),
         "dim_products": save(products, f"{folder}/dim_products", dims_fmt),
     }
