@@ -108,3 +108,27 @@ def test_whole_batch(spark, folder):
     assert got["cleaning_log"] == 3 and got["dim_products"] == 2 and got["odds_ratios"] == 9
     tests = spark.read.option("header", True).csv(f"{out}/workforce/statistical_tests")
     assert tests.columns == ["test", "statistic", "p_value", "significant_at_5pct"] and tests.count() == 4
+
+
+def test_views_answer_sql(spark, folder):
+    people = frame(spark, [person(1), person(2, income=None, attrition="Yes")])
+    readers.register(catalogue.views(readers.read_sales(spark, folder), people))
+    top = spark.sql("SELECT category, sum(revenue) AS r FROM sales_fact WHERE status = 'Delivered' GROUP BY category ORDER BY r DESC").first()
+    assert (top["category"], float(top["r"])) == ("Toys", 18.0)
+    assert spark.sql("SELECT count(*) FROM employees WHERE monthly_income IS NOT NULL").first()[0] == 2
+    assert spark.sql("SELECT count(*) FROM raw_orders").first()[0] - spark.sql("SELECT count(*) FROM orders_clean").first()[0] == 1
+
+
+def test_saved_reports_equal_the_registered_queries(spark):
+    from tidemark.functions.exprs import portable
+    from tidemark.plans import registry
+    from tidemark.sources import given_tables as given
+
+    sf_dir, out = "/root/testdata/sf0.001", scratch_path(spark, "parity")
+    raw, people = given.raw_sales(spark, sf_dir), given.raw_employees(spark, sf_dir)
+    catalogue.run_catalogue(spark, raw, people, out, fmt="parquet")
+    for part, names in (("sales", catalogue.SALES_REPORTS), ("workforce", catalogue.WORKFORCE_REPORTS)):
+        for name in names:
+            saved = portable(spark.read.parquet(f"{out}/{part}/{name}"))
+            fresh = registry.queries()[name](spark, sf_dir)
+            assert sorted(map(tuple, saved.collect()), key=str) == sorted(map(tuple, fresh.collect()), key=str), name

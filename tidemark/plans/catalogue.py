@@ -38,8 +38,25 @@ WORKFORCE_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def views(raw: RawSales, raw_employees: DataFrame) -> dict[str, DataFrame]:
+    """Raw, clean and joined tables by name, for ``readers.register`` and ``spark.sql``."""
+    return {
+        "raw_customers": raw.customers,
+        "raw_products": raw.products,
+        "raw_orders": raw.orders,
+        "raw_order_items": raw.order_items,
+        "raw_employees": raw_employees,
+        "customers_clean": cleaning.clean_customers(raw.customers),
+        "products_clean": cleaning.clean_products(raw.products),
+        "orders_clean": cleaning.clean_orders(raw.orders),
+        "order_items_clean": cleaning.clean_order_items(raw.order_items),
+        "sales_fact": fact.clean_and_join(raw),
+        "employees": cleaning.clean_employees(raw_employees),
+    }
+
+
 def save_reports(
-    table: DataFrame, reports: Mapping[str, Callable[[DataFrame], DataFrame]], folder: str, fmt: str = "csv", at_once: int = 4
+    table: DataFrame, reports: Mapping[str, Callable[[DataFrame], DataFrame]], folder: str, fmt: str = "csv", at_once: int = 8
 ) -> dict[str, int]:
     """Save each report below ``folder`` under its name; returns rows per report.
 
@@ -109,6 +126,9 @@ def run_all(spark: SparkSession, raw: RawSales, raw_employees: DataFrame, folder
 
 
 def run_catalogue(spark: SparkSession, raw: RawSales, raw_employees: DataFrame, folder: str, fmt: str = "csv") -> DataFrame:
-    """Run both catalogues; (query, rows) for every saved report."""
-    counts = run_sales(spark, raw, f"{folder}/sales", fmt) | run_workforce(spark, raw_employees, f"{folder}/workforce", fmt)
+    """Run both catalogues side by side; (query, rows) for every saved report."""
+    with ThreadPoolExecutor(2) as pool:
+        sold = pool.submit(run_sales, spark, raw, f"{folder}/sales", fmt)
+        staff = pool.submit(run_workforce, spark, raw_employees, f"{folder}/workforce", fmt)
+        counts = sold.result() | staff.result()
     return spark.createDataFrame(list(counts.items()), "query string, rows long")
