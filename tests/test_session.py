@@ -1,0 +1,24 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark import session
+
+
+def test_cut_is_a_table_in_the_shared_folder(spark):
+    df = spark.range(10).select("id", F.rand().alias("r"), F.lit("1.50").cast("decimal(9,2)").alias("d"))
+    once = session.cut(df)
+    assert once.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, once.collect()))
+    folder = session.shared_folder(spark).removeprefix("file:")
+    assert all(path.removeprefix("file://").removeprefix("file:").startswith(folder) for path in once.inputFiles())
+    # a later pass reads only what it needs
+    plan = once.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan
+    assert session.cut(df.where("id < 0")).count() == 0
+
+
+def test_shared_folder_is_the_named_one(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        pytest.skip("this session names no folder")
+    assert named in session.shared_folder(spark)

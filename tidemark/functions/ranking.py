@@ -2,9 +2,9 @@
 
 A window with no (or one dominant) PARTITION BY key puts its rows into one
 task. Here the rows are range-sorted on the full, unique sort key, so a hot key
-is spread over many slices; the sorted rows are checkpointed, which fixes the
-slice of every row even when executors are lost; and only one small line per
-slice is needed to turn positions within a slice into positions overall.
+is spread over many slices; the sorted rows are written to a table, which fixes
+the slice of every row even when executors are lost; and only one small line
+per slice is needed to turn positions within a slice into positions overall.
 """
 
 from __future__ import annotations
