@@ -147,6 +147,7 @@ def test_dummies(spark):
 def test_class_weights(spark):
     df = spark.createDataFrame([("Yes",), ("No",), ("No",), ("No",)], "attrition string")
     assert [tuple(r) for r in features.class_weights(df).collect()] == [("No", 3, 4 / 6), ("Yes", 1, 2.0)]
+    assert features.balanced({"No": 3, "Yes": 1}) == {"No": 4 / 6, "Yes": 2.0}
 
 
 def test_auc_counts_pairs(spark):

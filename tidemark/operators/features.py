@@ -123,18 +123,27 @@ def held_out(classes: Mapping[str, int], share: float = TEST_SHARE) -> dict[str,
     return {c: classes[c] - train[c] for c in train}
 
 
-def in_test(
+@dataclass(frozen=True)
+class Split:
+    """``is_test`` tells the test rows; ``train_sizes`` counts the others per class."""
+
+    is_test: Column
+    train_sizes: dict[str, int]
+
+
+def split_rule(
     df: DataFrame, label: str = LABEL, key: str = ID, share: float = TEST_SHARE, seed: int = SPLIT_SEED
-) -> Column:
-    """Condition for the test rows: the first rows of each class in shuffled order.
+) -> Split:
+    """The first rows of each class in shuffled order are for testing.
 
     Only the last test row of each class comes back from the distributed
     ranking, so the split itself is a comparison, whatever the class sizes are.
     ``df`` is read here and again by the caller: pass a computed table.
     """
     classes = {r[label]: r["n"] for r in df.groupBy(label).agg(rows().alias("n")).collect()}
+    held = held_out(classes, share)
     wanted = F.lit(0)
-    for value, size in held_out(classes, share).items():
+    for value, size in held.items():
         wanted = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(size)).otherwise(wanted)
     shuffled = df.select(label, split_order(key, seed).alias("draw"), key)
     ends = number_rows(shuffled, [F.asc("draw"), F.asc(key)], [label]).where(F.col("row_no") == wanted).collect()
@@ -144,14 +153,20 @@ def in_test(
         mine = F.col(label).eqNullSafe(F.lit(end[label]))
         upto = (draw < end["draw"]) | ((draw == end["draw"]) & (me <= F.lit(end[key]).cast(kind)))
         test = test | (mine & upto)
-    return test
+    return Split(test, {c: n - held[c] for c, n in classes.items()})
 
 
 def stratified_split(
     df: DataFrame, label: str = LABEL, key: str = ID, share: float = TEST_SHARE, seed: int = SPLIT_SEED
 ) -> DataFrame:
-    part = F.when(in_test(df, label, key, share, seed), "test").otherwise("train")
-    return df.select(key, label, part.alias("split"))
+    is_test = split_rule(df, label, key, share, seed).is_test
+    return df.select(key, label, F.when(is_test, "test").otherwise("train").alias("split"))
+
+
+def balanced(sizes: Mapping[str, int]) -> dict[str, float]:
+    """Weight per class = rows / (classes * rows of the class); weights add up to the row count."""
+    present = {c: n for c, n in sizes.items() if n}
+    return {c: sum(present.values()) / (len(present) * n) for c, n in present.items()}
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:

@@ -73,25 +73,24 @@ def fit(employees: DataFrame, c: float = RIDGE_C, seed: int = feat.SPLIT_SEED) -
     """Train on 75 % of each class.
 
     Minimises 1/2 |b|^2 + C * sum(weight * loss); Spark divides the loss by the
-    sum of weights, hence ``regParam = 1 / (C * sum of weights)``. Inputs are
-    already scaled, so Spark must not scale them again. ``employees`` is read
-    several times: pass a computed table.
+    sum of weights, which balanced weights make the number of training rows:
+    hence ``regParam = 1 / (C * rows)``. Inputs are already scaled, so Spark
+    must not scale them again. ``employees`` is read several times: pass a
+    computed table.
     """
-    is_test = feat.in_test(employees, seed=seed)
-    rows = employees.where(~is_test)
+    split = feat.split_rule(employees, seed=seed)
+    rows = employees.where(~split.is_test)
     numeric, categorical = feat.column_kinds(employees)
     scales = feat.moments(rows, numeric)
     levels = feat.category_levels(rows, categorical)
     inputs = {n: scales[n].scaled(n) for n in numeric} | feat.dummies(levels)
-    classes = feat.class_weights(rows).collect()
-    total = sum(r["n"] for r in classes)
+    total = sum(split.train_sizes.values())
     weight = F.lit(1.0)
-    for r in classes:
-        weight = F.when(F.col(feat.LABEL) == r[feat.LABEL], F.lit(r["weight"])).otherwise(weight)
+    for label, w in feat.balanced(split.train_sizes).items():
+        weight = F.when(F.col(feat.LABEL) == label, F.lit(w)).otherwise(weight)
     ready = _assembled(rows, inputs, {"label": left().cast("double"), "weight": weight}).select(
         "features", "label", "weight"
     )
-    # balanced weights add up to the number of training rows
     found = LogisticRegression(
         weightCol="weight",
         regParam=1.0 / (c * total),
@@ -101,7 +100,7 @@ def fit(employees: DataFrame, c: float = RIDGE_C, seed: int = feat.SPLIT_SEED) -
         tol=TOLERANCE,
     ).fit(ready)
     weights = dict(zip(inputs, map(float, found.coefficients.toArray())))
-    return Fitted(scales, levels, float(found.intercept), weights, is_test)
+    return Fitted(scales, levels, float(found.intercept), weights, split.is_test)
 
 
 def train(employees: DataFrame) -> tuple[DataFrame, Fitted]:

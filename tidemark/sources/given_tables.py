@@ -36,12 +36,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations with their region: 25 rows in every data set, hence safe to broadcast."""
-    nation, region = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
-    return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
-        "n_nationkey", "n_name", "r_name"
-    )
+def _with_nation(df: DataFrame, key: str, nation: DataFrame) -> DataFrame:
+    """Nations and regions have 25 and 5 rows in every data set, hence are safe to broadcast."""
+    return df.join(F.broadcast(nation), F.col(key) == F.col("n_nationkey"))
+
+
+def _with_region(df: DataFrame, region: DataFrame) -> DataFrame:
+    return df.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
 
 
 def _twice(when: Column) -> Column:
@@ -53,7 +54,8 @@ def city_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(city, state, region): the place dictionary, one row per nation."""
     n = F.col("n_name")
     city = F.concat(F.upper(F.substring(n, 1, 1)), F.lower(F.substring(n, 2, 100)))
-    return _places(spark, sf_dir).select(city.alias("city"), n.alias("state"), F.col("r_name").alias("region"))
+    places = _with_region(load(spark, sf_dir, "nation"), load(spark, sf_dir, "region"))
+    return places.select(city.alias("city"), n.alias("state"), F.col("r_name").alias("region"))
 
 
 def raw_sales(spark: SparkSession, sf_dir: str) -> RawSales:
@@ -61,18 +63,15 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> RawSales:
     first_day = orders.agg(F.min("o_orderdate").cast("date")).scalar()
     c_key, o_key = F.col("c_custkey"), F.col("o_orderkey")
 
-    customers = (
-        load(spark, sf_dir, "customer")
-        .join(F.broadcast(_places(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            c_key.alias("customer_id"),
-            F.col("c_name").alias("customer_name"),
-            F.when(c_key % 19 == 0, F.concat(F.upper("n_name"), F.lit(" "))).otherwise(F.col("n_name")).alias("city"),
-            F.col("c_mktsegment").alias("segment"),
-            F.date_add(first_day, (c_key % 900).cast("int")).cast("string").alias("signup_date"),
-            F.col("n_name").alias("state"),
-            F.col("r_name").alias("region"),
-        )
+    at_home = _with_nation(load(spark, sf_dir, "customer"), "c_nationkey", load(spark, sf_dir, "nation"))
+    customers = _with_region(at_home, load(spark, sf_dir, "region")).select(
+        c_key.alias("customer_id"),
+        F.col("c_name").alias("customer_name"),
+        F.when(c_key % 19 == 0, F.concat(F.upper("n_name"), F.lit(" "))).otherwise(F.col("n_name")).alias("city"),
+        F.col("c_mktsegment").alias("segment"),
+        F.date_add(first_day, (c_key % 900).cast("int")).cast("string").alias("signup_date"),
+        F.col("n_name").alias("state"),
+        F.col("r_name").alias("region"),
     )
 
     price = F.col("p_retailprice").cast("decimal(12,2)")
@@ -134,8 +133,7 @@ def raw_employees(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenure = (k % 13).cast("int")
     over = F.when(F.col("urgent") * 4 >= F.col("orders"), "Yes").otherwise("No")
     return (
-        load(spark, sf_dir, "customer")
-        .join(F.broadcast(_places(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey"))
+        _with_nation(load(spark, sf_dir, "customer"), "c_nationkey", load(spark, sf_dir, "nation"))
         .join(history, k == F.col("o_custkey"))
         .select(
             k.alias("employee_id"),
