@@ -36,7 +36,8 @@ def test_orders_are_standardised_then_deduplicated(spark):
         ("O1", "C1", date(2024, 1, 5), "Unknown", 10, "Delivered"),
         ("O2", "C1", date(2024, 1, 6), "Express", 0, "Returned"),
     ]
-    assert tuple(cleaning.dedup_report(raw, clean).first()) == (3, 2, 1)
+    assert tuple(cleaning.dedup_report(cleaning.standard_orders(raw)).first()) == (3, 2, 1)
+    assert tuple(cleaning.dedup_report(clean.where("1 = 0")).first()) == (0, 0, 0)
 
 
 def test_lookup_keeps_unknown_keys(spark):
@@ -98,6 +99,7 @@ def test_employees(messy):
         "E5": ("Sales", "No", 99.0),
     }
     assert rows(cleaning.cleaning_log(messy)) == [("duplicates_removed", 2), ("missing_income", 1), ("rows_raw", 7)]
+    assert dict(rows(cleaning.cleaning_log(messy, "before")))["duplicates_removed"] == 1
 
 
 def test_dedup_stage(messy):

@@ -19,22 +19,27 @@ def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
 
 
 def spread_join(rows: DataFrame, per_group: DataFrame, group: str, spread_by: str) -> DataFrame:
-    """Left join of ``per_group`` (one row per group) by (group, salt).
+    """Null-safe left join of ``per_group`` (one row per group) by (group, salt).
 
     The grouped side is already partitioned by the group, so Spark's own skew
     handling, which needs a shuffle right below the join, would not split a hot
     group here. The salt does: each group's row is repeated ``SALTS`` times and
     the rows of the group are spread over as many tasks.
     """
-    repeated = per_group.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    repeated = per_group.select(
+        F.col(group).alias("_group"),
+        *[c for c in per_group.columns if c != group],
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_repeat"),
+    )
     salted = rows.withColumn("_salt", F.pmod(F.hash(spread_by), F.lit(SALTS)))
-    return salted.join(repeated, [group, "_salt"], "left").drop("_salt")
+    same = F.col(group).eqNullSafe(F.col("_group")) & F.col("_salt").eqNullSafe(F.col("_repeat"))
+    return salted.join(repeated, same, "left").drop("_salt", "_group", "_repeat")
 
 
 def group_join(rows: DataFrame, per_group: DataFrame, group: str, spread_by: str) -> DataFrame:
-    """Left join that moves no row when ``per_group`` is small, and a salted one otherwise."""
+    """Null-safe left join that moves no row when ``per_group`` is small, and a salted one otherwise."""
     counted = per_group.limit(SMALL_ROWS + 1).collect()
     if len(counted) > SMALL_ROWS:
         return spread_join(rows, per_group, group, spread_by)
-    small = rows.sparkSession.createDataFrame(counted, per_group.schema)
-    return rows.join(F.broadcast(small), group, "left")
+    small = rows.sparkSession.createDataFrame(counted, per_group.schema).withColumnRenamed(group, "_group")
+    return rows.join(F.broadcast(small), F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")

@@ -11,29 +11,35 @@ _ACCURACY = 10_000
 _MARGIN = 0.001  # ten times the error bound of the sketch at that accuracy
 
 
-def group_median(df: DataFrame, group: str, value: str, out: str = "median") -> DataFrame:
-    """(group, out): the exact median of the non-NULL values of each non-NULL group.
+def group_median(
+    df: DataFrame, group: str, value: str, out: str = "median", spread_by: str | None = None
+) -> DataFrame:
+    """(group, out): the exact median of the non-NULL values of each group; NULL for the NULL group.
 
     A mergeable quantile sketch brackets the middle of each group; only the
     values inside the bracket are then counted one by one, everything below it
     is one number. A group of n rows thus sends about 0.002 n counted values to
-    its window instead of all of them. Values meet their bracket by (group,
-    salt), so a dominant group is spread over ``joins.SALTS`` tasks there too.
+    its window instead of all of them. Rows meet their bracket by (group, salt),
+    so a dominant group is spread over ``joins.SALTS`` tasks there too;
+    ``spread_by`` names the column to salt by, best a key.
+
+    NULLs are not filtered out up front and the join is null-safe: such filters
+    would slip below the caller's own steps, and Spark could then no longer
+    reuse their shuffle for this and for the caller's other reads of ``df``.
     """
-    known = df.select(F.col(group).alias("_g"), F.col(value).alias("_v")).where("_g IS NOT NULL AND _v IS NOT NULL")
+    salt = F.pmod(F.hash(spread_by or value), F.lit(SALTS))
+    slim = df.select(F.col(group).alias("_g"), F.col(value).alias("_v"), salt.alias("_s"))
     bracket = (
-        known.groupBy(F.col("_g").alias("_bg"))
+        slim.groupBy(F.col("_g").alias("_bg"))
         .agg(
             F.percentile_approx("_v", [0.5 - _MARGIN, 0.5 + _MARGIN], _ACCURACY).alias("_b"),
             F.count("_v").alias("_n"),
         )
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_bs"))
     )
-    salt = F.pmod(F.hash("_v"), F.lit(SALTS))
     counted = (
-        known.withColumn("_s", salt)
-        .join(bracket, (F.col("_g") == F.col("_bg")) & (F.col("_s") == F.col("_bs")))
-        .where(F.col("_v") <= F.col("_b")[1])
+        slim.join(bracket, F.col("_g").eqNullSafe(F.col("_bg")) & F.col("_s").eqNullSafe(F.col("_bs")))
+        .where(F.coalesce(F.col("_v") <= F.col("_b")[1], F.lit(False)))
         .groupBy("_g", "_n", F.when(F.col("_v") >= F.col("_b")[0], F.col("_v")).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
@@ -48,6 +54,7 @@ def group_median(df: DataFrame, group: str, value: str, out: str = "median") ->
     half = F.lit(0.5) if dict(df.dtypes)[value] == "double" else F.expr("0.5BD")
     return (
         counted.withColumn("_end", F.sum("_c").over(upto))
-        .groupBy(F.col("_g").alias(group))
-        .agg(((low + high) * half).alias(out))
+        .groupBy("_g")
+        .agg(((low + high) * half).alias("_m"))
+        .select(F.col("_g").alias(group), F.when(F.col("_g").isNotNull(), F.col("_m")).alias(out))
     )

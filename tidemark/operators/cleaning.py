@@ -33,12 +33,7 @@ def clean_products(raw: DataFrame) -> DataFrame:
     return raw.select("product_id", "category", "sub_category", "product_name", "unit_cost", "unit_price")
 
 
-def clean_orders(raw: DataFrame) -> DataFrame:
-    """Standardise, then drop rows that became identical.
-
-    ``distinct`` pre-aggregates before its shuffle, so a record repeated any
-    number of times leaves each task once.
-    """
+def standard_orders(raw: DataFrame) -> DataFrame:
     return raw.select(
         "order_id",
         "customer_id",
@@ -46,18 +41,33 @@ def clean_orders(raw: DataFrame) -> DataFrame:
         blank_to("ship_mode", UNKNOWN_SHIP_MODE).alias("ship_mode"),
         "discount_pct",
         proper_first("status").alias("status"),
-    ).distinct()
+    )
+
+
+def clean_orders(raw: DataFrame) -> DataFrame:
+    """Standardise, then drop rows that became identical.
+
+    ``distinct`` pre-aggregates before its shuffle, so a record repeated any
+    number of times leaves each task once.
+    """
+    return standard_orders(raw).distinct()
 
 
 def clean_order_items(raw: DataFrame) -> DataFrame:
     return raw.select("order_id", "product_id", "quantity")
 
 
-def dedup_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: rows before, rows after, rows removed."""
-    n_after = after.agg(rows().alias("n")).scalar()
-    return before.agg(rows().alias("rows_before")).select(
-        "rows_before", n_after.alias("rows_after"), (F.col("rows_before") - n_after).alias("rows_removed")
+def _copies(df: DataFrame) -> DataFrame:
+    """Distinct rows with the number of times each occurs."""
+    return df.groupBy(*df.columns).agg(rows().alias("copies"))
+
+
+def dedup_report(standardised: DataFrame) -> DataFrame:
+    """One row, one pass: rows before, rows after, rows removed by ``distinct``."""
+    return (
+        _copies(standardised)
+        .agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_before"), rows().alias("rows_after"))
+        .select("rows_before", "rows_after", (F.col("rows_before") - F.col("rows_after")).alias("rows_removed"))
     )
 
 
@@ -101,16 +111,24 @@ def employee_records(raw: DataFrame, dedup_stage: str = "after") -> DataFrame:
     ``dedup_stage="before"`` drops only rows that were identical in the raw
     table; ``"after"`` also drops copies that differ in spelling alone.
     """
-    if dedup_stage == "before":
+    if _dedup_first(dedup_stage):
         return _standardise(raw.distinct())
-    if dedup_stage == "after":
-        return _standardise(raw).distinct()
-    raise ValueError(f"dedup_stage must be 'before' or 'after', not {dedup_stage!r}")
+    return _standardise(raw).distinct()
+
+
+def _dedup_first(dedup_stage: str) -> bool:
+    if dedup_stage not in ("before", "after"):
+        raise ValueError(f"dedup_stage must be 'before' or 'after', not {dedup_stage!r}")
+    return dedup_stage == "before"
 
 
 def impute_income(records: DataFrame) -> DataFrame:
-    """Fill missing incomes with the median income of the same job role."""
-    medians = group_median(records, "job_role", "monthly_income", "role_median")
+    """Fill missing incomes with the median income of the same job role.
+
+    ``records`` is read three times, but its last shuffle is the same each time,
+    so Spark runs it once.
+    """
+    medians = group_median(records, "job_role", "monthly_income", "role_median", spread_by="employee_id")
     filled = F.coalesce(F.col("monthly_income"), F.col("role_median"))
     return (
         spread_join(records, medians, "job_role", "employee_id")
@@ -124,12 +142,14 @@ def clean_employees(raw: DataFrame, dedup_stage: str = "after") -> DataFrame:
 
 
 def cleaning_log(raw: DataFrame, dedup_stage: str = "after") -> DataFrame:
-    """(metric, value): rows read, copies removed, incomes missing after that."""
-    n_raw = raw.agg(rows().alias("n")).scalar()
+    """(metric, value): rows read, copies removed, incomes missing after that; one pass."""
+    compared = raw if _dedup_first(dedup_stage) else _standardise(raw)
     return (
-        employee_records(raw, dedup_stage)
-        .agg(rows().alias("kept"), F.count_if(F.col("monthly_income").isNull()).alias("missing_income"))
-        .select(n_raw.alias("rows_raw"), "kept", "missing_income")
-        .select("rows_raw", (F.col("rows_raw") - F.col("kept")).alias("duplicates_removed"), "missing_income")
+        _copies(compared)
+        .agg(
+            F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_raw"),
+            F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates_removed"),
+            F.count_if(F.col("monthly_income").isNull()).alias("missing_income"),
+        )
         .unpivot([], ["rows_raw", "duplicates_removed", "missing_income"], "metric", "value")
     )

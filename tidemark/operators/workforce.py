@@ -139,7 +139,7 @@ def risk_points(employees: DataFrame, benchmark: str = "avg", low_pay: float = 0
     if benchmark == "avg":
         pay = employees.groupBy("department").agg(_mean("monthly_income").alias("usual_pay"))
     elif benchmark == "median":
-        pay = group_median(employees, "department", "monthly_income", "usual_pay")
+        pay = group_median(employees, "department", "monthly_income", "usual_pay", spread_by="employee_id")
     else:
         raise ValueError(f"benchmark must be 'avg' or 'median', not {benchmark!r}")
     underpaid = F.col("monthly_income").cast("double") < F.lit(low_pay) * F.col("usual_pay").cast("double")
@@ -284,7 +284,7 @@ def promotion_gap_confounding(employees: DataFrame) -> DataFrame:
 
 def income_relative_log(employees: DataFrame) -> DataFrame:
     """ln(income / median income of the department); NULL unless the ratio is positive."""
-    usual = group_median(employees, "department", "monthly_income", "usual_pay")
+    usual = group_median(employees, "department", "monthly_income", "usual_pay", spread_by="employee_id")
     rel = ratio("monthly_income", "usual_pay")
     return group_join(employees, usual, "department", "employee_id").select(
         "employee_id", F.when(rel > 0, F.ln(rel)).alias("income_log_ratio")

@@ -47,11 +47,6 @@ def _clean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean_orders(given.raw_sales(spark, sf_dir).orders)
 
 
-def _dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = given.raw_sales(spark, sf_dir).orders
-    return cleaning.dedup_report(raw, cleaning.clean_orders(raw))
-
-
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = given.raw_sales(spark, sf_dir)
     return quality.orphans(cleaning.clean_order_items(raw.order_items), cleaning.clean_orders(raw.orders), "order_id")
@@ -128,7 +123,7 @@ _QUERIES: dict[str, Query] = {
     "clean_products": lambda s, d: cleaning.clean_products(given.raw_sales(s, d).products),
     "clean_orders": _clean_orders,
     "clean_order_items": lambda s, d: cleaning.clean_order_items(given.raw_sales(s, d).order_items),
-    "dedup_report": _dedup_report,
+    "dedup_report": lambda s, d: cleaning.dedup_report(cleaning.standard_orders(given.raw_sales(s, d).orders)),
     "sales_fact": _fact,
     "integrity_duplicate_keys": lambda s, d: quality.duplicate_keys(_clean_orders(s, d), "order_id"),
     "integrity_orphans": _orphans,
