@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import round_away, rows
@@ -40,12 +40,15 @@ def chi_square(table: DataFrame) -> DataFrame:
     With one degree of freedom each cell's distance from its expectation is
     reduced by up to one half (Yates).
     """
-    margins = table.groupBy(F.col("feature").alias("f")).agg(
-        F.sum("gone").alias("all_gone"),
-        F.sum("stayed").alias("all_stayed"),
-        (rows() - 1).alias("free_levels"),
+    # one row per level by now, so a feature's window is as small as its level list
+    of_feature = Window.partitionBy("feature")
+    with_margins = table.withColumns(
+        {
+            "all_gone": F.sum("gone").over(of_feature),
+            "all_stayed": F.sum("stayed").over(of_feature),
+            "free_levels": F.count("level").over(of_feature) - 1,
+        }
     )
-    joined = table.join(margins, F.col("feature") == F.col("f"))
     n = (F.col("all_gone") + F.col("all_stayed")).cast("double")
     dof = F.col("free_levels") * F.when((F.col("all_gone") > 0) & (F.col("all_stayed") > 0), 1).otherwise(0)
 
@@ -56,7 +59,7 @@ def chi_square(table: DataFrame) -> DataFrame:
         return F.coalesce(F.try_divide(gap * gap, expected), F.lit(0.0))
 
     return (
-        joined.withColumn("dof", dof)
+        with_margins.withColumn("dof", dof)
         .groupBy("feature", "dof")
         .agg(F.sum(cell("gone", "all_gone") + cell("stayed", "all_stayed")).alias("statistic"))
         .select("feature", "statistic", "dof")
