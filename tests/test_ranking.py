@@ -113,3 +113,16 @@ def test_group_join_either_way(spark, skewed, monkeypatch, limit):
     sizes = {r["g"]: r["n"] for r in per_group.collect()}
     assert got.count() == 6000
     assert {(r["g"], r["n"]) for r in got.select("g", "n").distinct().collect()} == set(sizes.items())
+
+
+def test_large_offset_tables_are_joined_by_shuffle(skewed, monkeypatch):
+    """The way taken when there are too many (group, slice) lines to broadcast."""
+    monkeypatch.setattr(ranking, "small_side", lambda df: df)
+    order = [F.asc_nulls_first("v"), F.asc("id")]
+    numbered = ranking.number_rows(skewed, order, ["g"])
+    want = skewed.select("id", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    assert sorted(map(tuple, numbered.select("id", "row_no").collect())) == sorted(map(tuple, want.collect()))
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = skewed.select("id", F.coalesce(F.sum("w").over(before), F.lit(0)))
+    got = ranking.running_totals(skewed, order, ["w"]).select("id", "before_w")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sums.collect()))
