@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, sharding, topk, toxicity
+from tidemark.llm import decontaminate, mixing, sharding, suffix_dedup, topk, toxicity
 from tidemark.llm.rows import ship
 
 
@@ -20,6 +20,7 @@ def _over(report: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSess
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array_dedup": _over(suffix_dedup.report, "documents"),
         "op3_decontamination": _over(decontaminate.report, "documents", "benchmark"),
         "op7_source_mixing": _over(mixing.report, "documents"),
         "op8_exact_topk": _over(topk.report, "embeddings"),
