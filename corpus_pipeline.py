@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, sharding, toxicity
+from tidemark.llm import decontaminate, jaccard_join, mixing, sharding, toxicity
 from tidemark.llm.rows import ship
 from tidemark.session import cut
 
@@ -28,6 +28,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.remove_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near equal word n-grams, one stays."""
+    ship(spark)
+    return jaccard_join.keep_one(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; a document that is mostly benchmark goes."""
     ship(spark)
@@ -48,6 +54,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", one_of_each),
     ("benchmark_decontamination", decontaminated),
     ("source_mixing", mixed),
     ("sharding", sharded),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, sharding, suffix_dedup, topk, toxicity
+from tidemark.llm import decontaminate, jaccard_join, mixing, sharding, suffix_dedup, topk, toxicity
 from tidemark.llm.rows import ship
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": _over(suffix_dedup.report, "documents"),
         "op3_decontamination": _over(decontaminate.report, "documents", "benchmark"),
+        "op6_ngram_jaccard_join": _over(jaccard_join.report, "documents"),
         "op7_source_mixing": _over(mixing.report, "documents"),
         "op8_exact_topk": _over(topk.report, "embeddings"),
         "op9_sharding": _over(sharding.report, "documents"),
