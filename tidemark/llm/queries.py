@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import backoff, decontaminate, jaccard_join, mixing, sharding, suffix_dedup, token_counts, topk, toxicity
+from tidemark.llm import backoff, decontaminate, html_text, jaccard_join, mixing, sharding, suffix_dedup, token_counts, topk, toxicity
 from tidemark.llm.rows import ship
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_array_dedup": _over(suffix_dedup.report, "documents"),
         "op2_lm_scoring": _over(backoff.report, "documents"),
         "op3_decontamination": _over(decontaminate.report, "documents", "benchmark"),
+        "op4_html_extraction": _over(html_text.report, "pages"),
         "op5_token_counts": _over(token_counts.report, "documents"),
         "op6_ngram_jaccard_join": _over(jaccard_join.report, "documents"),
         "op7_source_mixing": _over(mixing.report, "documents"),
