@@ -1,0 +1,82 @@
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate
+
+_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return _WORD.findall((text or "").translate(_LOWER))
+
+
+def brute(texts, items, window=10):
+    """(words, hit words, items, digest, contaminated) of each text, every window tried at every word."""
+    out = []
+    for text in texts:
+        have, hit, met = words(text), set(), set()
+        for item, wanted in items:
+            wanted = words(wanted)
+            size = min(window, len(wanted))
+            for a in range(len(wanted) - size + 1 if size else 0):
+                for p in range(len(have) - size + 1):
+                    if have[p : p + size] == wanted[a : a + size]:
+                        hit.update(range(p, p + size))
+                        met.add("null" if item is None else str(item))
+        out.append((len(have), len(hit), len(met), hashlib.sha256(",".join(sorted(met)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+def cases(seed):
+    rng = random.Random(seed)
+    vocabulary = ["the", "Of", "café", "x2", "a", "b"]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 9, 10, 11, 14, 25])))) for k in range(25)]
+    items += [(None, "only here, once"), (3, "Second text of three"), (98, ""), (99, None)]
+    texts = [None, "", "...", "the", "only HERE once"]
+    for _ in range(60):
+        text = [rng.choice(vocabulary) for _ in range(rng.randrange(40))]
+        if rng.random() < 0.7:
+            piece = words(rng.choice(items)[1])
+            cut = rng.randrange(len(piece) + 1)
+            text[len(text) // 2 : len(text) // 2] = piece[: cut or None]
+        texts.append(", ".join(text))
+    return texts, items
+
+
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 60])
+def test_against_brute_force(spark, block_words):
+    texts, items = cases(1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    c = F.col("contamination")
+    found = decontaminate.find_contamination(docs, benchmark, block_words=block_words).select(
+        "doc_id", c["n_words"], c["n_hit"], F.size(c["item_list"]), F.sha2(F.concat_ws(",", c["item_list"]), 256), c["n_hit"] > 0
+    )
+    assert [tuple(r)[1:] for r in found.orderBy("doc_id").collect()] == brute(texts, items)
+
+
+def test_spans_are_cut_out_and_clean_texts_stay(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    texts = ["clean text stays, as it is", "Before; ONE two three four five six seven eight nine ten. After " + "more words " * 10, item]
+    docs = spark.createDataFrame([(k, t, len(t), "é") for k, t in enumerate(texts)], "doc_id long, text string, n_chars long, size string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = {r.doc_id: r for r in decontaminate.remove_contamination(docs, benchmark).collect()}
+    assert kept[0].text == texts[0] and 2 not in kept
+    assert kept[1].text == "Before; . After " + "more words " * 10 and kept[1].n_chars == len(kept[1].text)
+    again = decontaminate.report(spark.createDataFrame(list(kept.values())), benchmark)
+    assert again.where("contaminated").count() == 0
+
+
+def test_awkward_rows(spark, awkward, nothing):
+    benchmark = spark.createDataFrame([(1, "alpha beta"), (2, None)], "item_id long, text string")
+    found = decontaminate.find_contamination(awkward, benchmark, name="size")
+    assert found.columns[-1] == "size" and found.count() == awkward.count()
+    assert decontaminate.remove_contamination(awkward, benchmark).columns == awkward.columns
+    assert decontaminate.report(nothing, benchmark).count() == 0
+    none = decontaminate.report(awkward, benchmark.where("1 = 0"))
+    assert none.where("contaminated").count() == 0 and none.count() == awkward.count()

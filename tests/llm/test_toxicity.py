@@ -1,0 +1,87 @@
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import toxicity
+
+
+def test_maximal_segments_by_definition():
+    """Highest sum first (leftmost, then shortest), then the same on either side of it."""
+
+    def split(scores, start, stop):
+        best = None
+        for a, b in itertools.combinations(range(start, stop + 1), 2):
+            s = sum(scores[a:b])
+            if s > 0 and (best is None or s > best[2] + 1e-9):
+                best = (a, b, s)
+        return [] if best is None else split(scores, start, best[0]) + [best] + split(scores, best[1], stop)
+
+    rng = random.Random(0)
+    for _ in range(200):
+        scores = [rng.uniform(-1, 0.8) for _ in range(rng.randrange(15))]
+        found = toxicity.maximal_segments(np.array(scores))
+        assert [(a, b) for a, b, _ in found] == [(a, b) for a, b, _ in split(scores, 0, len(scores))]
+        assert [s for *_, s in found] == pytest.approx([s for *_, s in split(scores, 0, len(scores))])
+
+
+def corpus(spark, n=600):
+    rng = random.Random(2)
+    plain, bad = [f"word{k}" for k in range(300)], ["vile", "foul", "nasty"]
+    rows, labels = [], []
+    for i in range(n):
+        words = [rng.choice(plain) for _ in range(rng.randrange(20, 120))]
+        toxic = int(i % 5 == 0)
+        if toxic:
+            for _ in range(4):
+                words.insert(rng.randrange(len(words)), rng.choice(bad).upper())
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = corpus(spark)
+    found = toxicity.report(docs, labels).join(labels, "doc_id").collect()
+    for r in found:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+    unseen = [r for r in found if r.held_out]
+    assert sum(r.predicted == r.toxic for r in unseen) / len(unseen) > 0.95
+
+
+def test_labels_of_held_out_rows_change_nothing(spark):
+    docs, labels = corpus(spark, 200)
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert sorted(toxicity.report(docs, labels).collect()) == sorted(toxicity.report(docs, turned).collect())
+
+
+def test_passages_hold_the_toxic_words(spark):
+    docs, labels = corpus(spark)
+    model = toxicity.train(docs, labels)
+    text = "word1 word2 " * 30 + "vile foul nasty vile " + "word3 " * 30
+    row = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().toxicity
+    best = max(row.passages, key=lambda p: p["sum"])
+    assert text[best.start : best.end] == "vile foul nasty vile" and row.score > 0.5
+
+
+def test_given_documents(spark):
+    tables = [spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels")]
+    found = toxicity.report(*tables).join(tables[1], "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.toxic for r in found) / len(found) > 0.9
+
+
+def test_awkward_rows(spark, awkward, nothing):
+    docs, labels = corpus(spark, 100)
+    model = toxicity.train(docs, labels)
+    found = toxicity.score(awkward, model, "n_chars")
+    assert found.count() == awkward.count() and set(found.columns) == set(awkward.columns)
+    odd = spark.createDataFrame([(1, None), (None, 1), (2, 7), (3, 1), (3, 0), (4, 0)], "doc_id long, toxic int")
+    assert toxicity.report(awkward, odd).count() == awkward.count()
+    none = toxicity.report(awkward, labels.where("1 = 0")).collect()
+    assert {r.predicted for r in none} == {0} and len(none) == awkward.count()
+    assert toxicity.report(nothing, labels).count() == 0
+    assert toxicity.remove_toxic(awkward, labels).columns == awkward.columns

@@ -4,10 +4,10 @@ A source's target is a number of words. Whole passes over the source fill as
 much of it as they can; the rest, less than one pass, is a subset-sum problem
 over the source's document lengths. Its state is the count of documents by
 exact length, a table far smaller than the documents: every length first gives
-its share, then the longest lengths that still fit, and a bounded-knapsack
-dynamic program over the small budget that is left closes the gap. The result
-says how many documents of each length get one more pass; which ones, a seeded
-hash of the document decides.
+its share of all but a small budget, then the longest lengths that fit, and a
+bounded-knapsack dynamic program spends the budget that is left. The result says
+how many documents of each length get one more pass; which ones, a seeded hash
+of the document decides.
 
 Edge cases: a null source is a source of its own, after all others; null and
 empty texts have size 0 and are never taken; a source of size 0 has target 0;
@@ -70,7 +70,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, program_words: int
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    taken = (counts.astype(object) * budget // total).astype(np.int64) if total else np.zeros_like(counts)
+    first = max(budget - program_words, 0)  # the rest is left to the program, so that it has a choice
+    taken = (counts.astype(object) * first // total).astype(np.int64)
     left = budget - int((lengths * taken).sum())
     for k in np.argsort(-lengths, kind="stable"):
         if left <= program_words:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import backoff, decontaminate, html_text, jaccard_join, mixing, sharding, suffix_dedup, token_counts, topk, toxicity
+from tidemark.llm import backoff, decontaminate, html_text, jaccard_join, mixing, oracle, sharding, suffix_dedup, token_counts, topk, toxicity
 from tidemark.llm.rows import ship
 
 
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.SQL

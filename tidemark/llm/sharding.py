@@ -129,7 +129,7 @@ def _lookup(spark: SparkSession, cuts: list[tuple[int, int]], name: str) -> Data
         typed = f"array({listed})" if here else "cast(array() as array<struct<col1:bigint,col2:bigint>>)"
         rows.append(f"({block}L, {before}, {typed})")
         before += len(here)
-    return _table(spark, f"block, {name}_before, {name}_cuts", rows)
+    return _table(spark, f"{name}_block, {name}_before, {name}_cuts", rows)
 
 
 def _part(keyed: DataFrame, cuts: list[tuple[int, int]], name: str) -> DataFrame:
@@ -137,8 +137,8 @@ def _part(keyed: DataFrame, cuts: list[tuple[int, int]], name: str) -> DataFrame
     table = F.broadcast(_lookup(keyed.sparkSession, cuts, name))  # 2 ** LOOKUP_BITS rows
     key = F.struct(F.col("__h").alias("col1"), F.col("__d").alias("col2"))
     number = F.col(f"{name}_before") + F.size(F.filter(f"{name}_cuts", lambda c: c <= key))
-    joined = keyed.join(table, F.col("block") == F.shiftright("__h", BITS - LOOKUP_BITS))
-    return joined.withColumn(name, number).drop("block", f"{name}_before", f"{name}_cuts")
+    joined = keyed.join(table, F.col(f"{name}_block") == F.shiftright("__h", BITS - LOOKUP_BITS))
+    return joined.withColumn(name, number).drop(f"{name}_block", f"{name}_before", f"{name}_cuts")
 
 
 def _placed(keyed: DataFrame, searched: DataFrame, shards: int, slices: int, tolerance: float) -> DataFrame:
