@@ -321,7 +321,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
     same = "t.doc_id <=> w.doc_id and t.h = w.h"
-    found = texts.alias("t").join(wanted.alias("w"), F.expr(same), "left_semi").select("text")
+    # both sides grow with the documents, so they meet by a shuffle at every size
+    found = texts.alias("t").join(wanted.hint("merge").alias("w"), F.expr(same), "left_semi").select("text")
     return found.mapInArrow(run, "id long, grams binary").dropDuplicates(["id"])
 
 
