@@ -63,3 +63,9 @@ def test_portable_types(spark):
     assert dict(out.dtypes) == {"i": "bigint", "d": "double", "t": "string", "s": "string", "b": "boolean"}
     assert tuple(out.first()) == (1, 2.5, "2024-01-02", "x", True)
     assert df.first()["d"] == Decimal("2.50")
+
+
+def test_long_texts_keep_their_end(spark):
+    text = "ab" * 1_000_000
+    row = spark.createDataFrame([(text,)], "t string").select(x.proper_first("t").alias("t")).first()
+    assert row.t == "A" + text[1:]

@@ -75,14 +75,6 @@ def test_score_tiles_equal_ntile(skewed, rows):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_small_side_marks_only_small_tables(spark):
-    def plan(df):
-        return df._jdf.queryExecution().analyzed().toString()
-
-    assert "broadcast" in plan(joins.small_side(spark.range(10), 10))
-    assert "broadcast" not in plan(joins.small_side(spark.range(11), 10))
-
-
 def test_group_median_is_exact(spark, skewed):
     rng = random.Random(9)
     rows = [("hot", round(rng.uniform(-5, 5000), 2)) for _ in range(40_001)]
@@ -105,19 +97,37 @@ def test_group_median_small_groups(spark, n):
     assert group_median(df, "g", "v", "m").first()["m"] == want
 
 
-@pytest.mark.parametrize("limit", [1, 1000])
-def test_group_join_either_way(spark, skewed, monkeypatch, limit):
-    monkeypatch.setattr(joins, "SMALL_ROWS", limit)
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    from tidemark.functions import medians
+
+    real, tried = medians._bracketed_median, []
+
+    def misses(df, group, value, out, spread_by, margin):
+        tried.append(margin)
+        lost = (F.col(group) == "a") & F.lit(margin < 0.4)
+        return real(df, group, value, out, spread_by, margin).withColumn(out, F.when(~lost, F.col(out)))
+
+    monkeypatch.setattr(medians, "_bracketed_median", misses)
+    rng = random.Random(4)
+    rows = [(g, float(rng.randrange(10**6))) for g in "ab" for _ in range(5001)] + [("none", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(16)
+    got = {r["g"]: r["m"] for r in group_median(df, "g", "v", "m").collect()}
+    assert {g: got[g] for g in "ab"} == {g: sorted(v for k, v in rows if k == g)[2500] for g in "ab"}
+    assert got.get("none") is None and got.get(None) is None and tried == [0.001, 0.02, 0.4]
+
+
+@pytest.mark.parametrize("threshold", [-1, 10_000_000])
+def test_group_join_either_way(spark, conf, skewed, threshold):
+    conf(spark__sql__autoBroadcastJoinThreshold=threshold, spark__sql__adaptive__autoBroadcastJoinThreshold=threshold)
     per_group = skewed.groupBy("g").agg(F.count("*").alias("n"))
-    got = joins.group_join(skewed, per_group, "g", "id")
+    got = joins.group_join(skewed, per_group, "g")
     sizes = {r["g"]: r["n"] for r in per_group.collect()}
     assert got.count() == 6000
     assert {(r["g"], r["n"]) for r in got.select("g", "n").distinct().collect()} == set(sizes.items())
 
 
-def test_large_offset_tables_are_joined_by_shuffle(skewed, monkeypatch):
-    """The way taken when there are too many (group, slice) lines to broadcast."""
-    monkeypatch.setattr(ranking, "small_side", lambda df: df)
+def test_offset_tables_may_be_joined_by_shuffle(conf, skewed):
+    conf(spark__sql__autoBroadcastJoinThreshold=-1, spark__sql__adaptive__autoBroadcastJoinThreshold=-1)
     order = [F.asc_nulls_first("v"), F.asc("id")]
     numbered = ranking.number_rows(skewed, order, ["g"])
     want = skewed.select("id", F.row_number().over(Window.partitionBy("g").orderBy(*order)))

@@ -133,11 +133,18 @@ def test_cube_blocks_and_pivot_agree(small):
     for block in ("category", "region", "year"):
         parts = [r for r in blocks if r[0] == block and r[1] != "Total"]
         assert sum(r[2] for r in parts) == 220.0
-    pivot = tuples(sales.category_year_pivot(cube, [2023, 2024], regions=["North"]))
-    assert pivot == [
-        ("Toys", 140.0, 15.0, 15.0 / 140.0, None, None, None, 140.0),
-        ("Food", 50.0, 10.0, 0.2, None, None, None, 50.0),
-    ]
+    pivot = tuples(sales.category_year_pivot(cube, regions=["North"]))
+    assert pivot == [("Toys", 140.0, 15.0, 15.0 / 140.0, 140.0), ("Food", 50.0, 10.0, 0.2, 50.0)]
+    assert sales.category_year_pivot(cube.where("1 = 0")).columns == ["category", "total_revenue"]
+
+
+def test_every_year_of_the_data_counts(spark):
+    rows = [(f"{y}-01", y, "Food", "North", 1, float(y - 1990), 1.0) for y in range(1995, 2004)]
+    cube = spark.createDataFrame(rows, "month string, year long, category string, region string, orders long, revenue double, profit double")
+    wide = sales.category_year_pivot(cube)
+    assert wide.columns[-4:] == ["revenue_2003", "profit_2003", "margin_2003", "total_revenue"]
+    assert wide.first()["total_revenue"] == sum(range(5, 14))
+    assert sales.category_by_year(cube).count() == 9
 
 
 def test_rfm(spark):

@@ -2,9 +2,10 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from test_cleaning import frame, person
 
-from tidemark.operators import cleaning, fact, sales
+from tidemark.operators import cleaning, fact, quality, sales
 from tidemark.plans import catalogue
 from tidemark.session import scratch_path
 from tidemark.sources import readers, schemas, sinks
@@ -132,3 +133,63 @@ def test_saved_reports_equal_the_registered_queries(spark):
             saved = portable(spark.read.parquet(f"{out}/{part}/{name}"))
             fresh = registry.queries()[name](spark, sf_dir)
             assert sorted(map(tuple, saved.collect()), key=str) == sorted(map(tuple, fresh.collect()), key=str), name
+
+
+def _same_as_csv_module(spark, tmp_path, rows):
+    import csv
+
+    names = list(rows[0])
+    path = tmp_path / "mine.csv"
+    with open(path, "w", newline="") as out:
+        writer = csv.DictWriter(out, names)
+        writer.writeheader()
+        writer.writerows(rows)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in sorted(names)])
+    back = readers.read_csv(spark, str(path), schema, multi_line=True).collect()
+    assert sorted(map(tuple, back)) == sorted(tuple(r[n] for n in sorted(names)) for r in rows)
+    saved = tmp_path / "saved"
+    sinks.save(spark.createDataFrame(rows).select(*names).coalesce(1), str(saved))
+    (part,) = saved.glob("part-*")
+    with open(part, newline="") as lines:
+        assert sorted(map(str, csv.DictReader(lines))) == sorted(map(str, rows))
+
+
+def test_quotes_commas_and_line_breaks_both_ways(spark, tmp_path):
+    names = ['27" Monitor, black', 'say "hi"', "two\nlines", "plain", ', "', 'ends with "']
+    _same_as_csv_module(spark, tmp_path, [{"b": n, "a": str(k), "c": "x"} for k, n in enumerate(names)])
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "products.csv"
+    path.write_text("unit_price,product_id,extra,category,unit_cost,product_name,sub_category\n10.125,P1,?,Toys,6,Ball,Balls\n")
+    row = readers.read_csv(spark, str(path), schemas.PRODUCTS).first()
+    assert (str(row.unit_price), str(row.unit_cost), row.product_name) == ("10.1250", "6.0000", "Ball")
+    path.write_text("product_id,category\nP1,Toys\n")
+    with pytest.raises(readers.MissingColumns, match="unit_cost"):
+        readers.read_csv(spark, str(path), schemas.PRODUCTS)
+
+
+def test_lost_values_and_broken_rows_are_counted(spark, tmp_path):
+    path = tmp_path / "order_items.csv"
+    path.write_text("order_id,product_id,quantity\nO1,P1,3.0\nO1,P2,x\nO2,P2,2.5\nO2,P3,,surplus\nO3,P1,12345678901\n")
+    rows = readers.read_csv(spark, str(path), schemas.ORDER_ITEMS).collect()
+    assert [r.quantity for r in rows] == [3, None, None, None, None]
+    found = {r.metric: r.value for r in readers.read_problems(spark, str(path), schemas.ORDER_ITEMS).collect()}
+    assert found == {"rows": 5, "broken_rows": 1, "lost_quantity": 3}
+
+
+def test_parquet_is_held_to_the_schema(spark, tmp_path):
+    path = str(tmp_path / "order_items.parquet")
+    spark.createDataFrame([("O1", "P1", 2.0), ("O2", "P1", 2.5)], "order_id string, product_id string, quantity double").write.parquet(path)
+    table = readers.read_table(spark, path, schemas.ORDER_ITEMS, "parquet")
+    assert table.schema.simpleString() == schemas.ORDER_ITEMS.simpleString()
+    assert sorted(str(r.quantity) for r in table.collect()) == ["2", "None"]
+
+
+@pytest.mark.parametrize(
+    "table, line", [("order_items", "O9,P1,1\n"), ("orders", "O1,C2,2024-03-05,Express,0,Returned\n")]
+)
+def test_orphans_and_repeated_keys_stop_the_batch(spark, folder, tmp_path, table, line):
+    (tmp_path / f"{table}.csv").write_text(CSV[table] + line)
+    with pytest.raises(quality.DataQualityError):
+        catalogue.run_sales(spark, readers.read_sales(spark, folder), scratch_path(spark, "gate"))

@@ -16,7 +16,7 @@ MONEY = "decimal(18,2)"
 def proper_first(text: str | Column) -> Column:
     """First letter upper case, the rest lower case, outer blanks removed."""
     t = F.trim(_col(text))
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substr(t, F.lit(2))))
 
 
 def strip_all(text: str | Column) -> Column:

@@ -5,41 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import SMALL_ROWS
+from tidemark.session import cut
 
-SALTS = 64
 
+def group_join(rows: DataFrame, per_group: DataFrame, group: str) -> DataFrame:
+    """Null-safe left join of ``per_group`` (one row per group).
 
-def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it is proven to hold at most ``limit`` rows."""
-    got = df.limit(limit + 1).collect()
-    if len(got) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(got, df.schema))
-
-
-def spread_join(rows: DataFrame, per_group: DataFrame, group: str, spread_by: str) -> DataFrame:
-    """Null-safe left join of ``per_group`` (one row per group) by (group, salt).
-
-    The grouped side is already partitioned by the group, so Spark's own skew
-    handling, which needs a shuffle right below the join, would not split a hot
-    group here. The salt does: each group's row is repeated ``SALTS`` times and
-    the rows of the group are spread over as many tasks.
+    The grouped side is written first, so its bytes are known when the join is
+    planned: below Spark's own threshold it is broadcast and no row moves, above
+    it both sides are shuffled for this join alone, where a hot group can be
+    split at run time.
     """
-    repeated = per_group.select(
-        F.col(group).alias("_group"),
-        *[c for c in per_group.columns if c != group],
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_repeat"),
-    )
-    salted = rows.withColumn("_salt", F.pmod(F.hash(spread_by), F.lit(SALTS)))
-    same = F.col(group).eqNullSafe(F.col("_group")) & F.col("_salt").eqNullSafe(F.col("_repeat"))
-    return salted.join(repeated, same, "left").drop("_salt", "_group", "_repeat")
-
-
-def group_join(rows: DataFrame, per_group: DataFrame, group: str, spread_by: str) -> DataFrame:
-    """Null-safe left join that moves no row when ``per_group`` is small, and a salted one otherwise."""
-    counted = per_group.limit(SMALL_ROWS + 1).collect()
-    if len(counted) > SMALL_ROWS:
-        return spread_join(rows, per_group, group, spread_by)
-    small = rows.sparkSession.createDataFrame(counted, per_group.schema).withColumnRenamed(group, "_group")
-    return rows.join(F.broadcast(small), F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
+    found = cut(per_group.withColumnRenamed(group, "_group"))
+    return rows.join(found, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")

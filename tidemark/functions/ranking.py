@@ -15,7 +15,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import small_side
 from tidemark.session import cut
 
 _SLICE_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
@@ -47,7 +46,7 @@ def number_rows(df: DataFrame, order: Sequence[Column], group: Sequence[str] = (
     )
     same = [F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(group)]
     on = reduce(lambda a, b: a & b, same, F.col("_slice") == F.col("_ks"))
-    return placed.join(small_side(spans), on).select(
+    return placed.join(cut(spans), on).select(
         *df.columns, (F.col("_at") + F.col("_shift")).alias("row_no"), "group_rows"
     )
 
@@ -82,7 +81,7 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: Sequence[str])
         *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_off_{c}") for c in sums],
     )
     inside = Window.partitionBy("_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(small_side(offsets), F.col("_slice") == F.col("_ks")).select(
+    return placed.join(cut(offsets), F.col("_slice") == F.col("_ks")).select(
         *df.columns,
         *[
             (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_off_{c}")).alias(f"before_{c}")

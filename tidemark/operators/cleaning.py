@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import blank_to, iso_date, proper_first, rows, title_words
-from tidemark.functions.joins import small_side, spread_join
+from tidemark.functions.joins import group_join
 from tidemark.functions.medians import group_median
+from tidemark.session import cut
 
 # Spellings and codes that the cleaned tables must carry.
 UNKNOWN_SHIP_MODE = "Unknown"
@@ -72,11 +73,8 @@ def dedup_report(standardised: DataFrame) -> DataFrame:
 
 
 def lookup_enrich(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
-    """Add the attributes of ``lookup`` by ``key``; NULL where the key is not listed.
-
-    The lookup is broadcast only when a count shows it is small.
-    """
-    return df.join(small_side(lookup), key, "left")
+    """Add the attributes of ``lookup`` by ``key``; NULL where the key is not listed."""
+    return df.join(lookup, key, "left")
 
 
 def clamp_dates(df: DataFrame, day: str, earliest: str | Column, latest: date | Column) -> DataFrame:
@@ -125,13 +123,14 @@ def _dedup_first(dedup_stage: str) -> bool:
 def impute_income(records: DataFrame) -> DataFrame:
     """Fill missing incomes with the median income of the same job role.
 
-    ``records`` is read three times, but its last shuffle is the same each time,
-    so Spark runs it once.
+    ``records`` is read three times and therefore written first; its rows do not
+    move again as long as the medians can be broadcast.
     """
+    records = cut(records)
     medians = group_median(records, "job_role", "monthly_income", "role_median", spread_by="employee_id")
     filled = F.coalesce(F.col("monthly_income"), F.col("role_median"))
     return (
-        spread_join(records, medians, "job_role", "employee_id")
+        group_join(records, medians, "job_role")
         .withColumn("monthly_income", filled)
         .select(*records.columns)
     )

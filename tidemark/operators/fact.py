@@ -30,17 +30,18 @@ def _money(amount: Column) -> Column:
 def sales_fact(items: DataFrame, orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
     """Join the clean tables and price every line in exact decimals.
 
-    Customers join at order grain, before the lines multiply the rows, and a
-    filter on order columns reaches the orders before any line is shuffled. No
-    join is forced to broadcast: Spark does so below its own size threshold and
-    otherwise splits hot keys at run time (adaptive skew join).
+    Customers join at order grain, before the lines multiply the rows. Products
+    join the lines first and orders last, so that grouping the result by order
+    finds its lines together and moves none again. No join is forced to
+    broadcast: Spark does so below its own size threshold and otherwise splits
+    hot keys at run time (adaptive skew join).
     """
     placed = orders.join(customers, "customer_id")
-    lines = items.join(placed, "order_id").join(products, "product_id")
+    lines = items.join(products, "product_id").join(placed, "order_id")
     kept_share = F.lit(1) - F.col("discount_pct").cast("decimal(5,0)") * F.lit(Decimal("0.01"))
     units = F.col("quantity").cast("decimal(10,0)")
-    gross = units * F.col("unit_price").cast("decimal(12,2)") * kept_share
-    cost = units * F.col("unit_cost").cast("decimal(16,4)")
+    gross = units * F.col("unit_price").cast("decimal(18,4)") * kept_share
+    cost = units * F.col("unit_cost").cast("decimal(18,4)")
     return lines.withColumns(
         {
             "order_month": month_key("order_date"),

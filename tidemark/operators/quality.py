@@ -27,6 +27,14 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.select(key).join(parent.select(key), key, "left_anti").agg(rows().alias("orphans"))
 
 
+def require_none(**checks: DataFrame) -> None:
+    """Raise unless every check, a frame of one count, finds nothing."""
+    found = {name: check.first()[0] for name, check in checks.items()}
+    broken = {name: n for name, n in found.items() if n}
+    if broken:
+        raise DataQualityError(f"integrity checks found problems: {broken}")
+
+
 def null_counts(df: DataFrame, key: str) -> DataFrame:
     """One row: rows, repeated keys, and a ``null_<column>`` count for every column.
 

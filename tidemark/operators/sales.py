@@ -1,15 +1,13 @@
 """Sales reports over the fact.
 
 Distinct orders are counted by first grouping to one row per (report key,
-order): sums shrink before the shuffle, and the second step counts rows
-instead of carrying every order id.
+order), which needs no further shuffle of the lines behind the fact's join on
+orders; the second step counts rows instead of carrying every order id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,16 +23,34 @@ def per_order(fact: DataFrame, *keys: str) -> DataFrame:
     return fact.groupBy(*keys, "order_id").agg(*[F.sum(c).alias(c) for c in _SUMS])
 
 
+def _per_customer(fact: DataFrame, *keys: str) -> DataFrame:
+    """One row per (keys, customer_id): exact sums, and the orders counted at this customer.
+
+    Lines are grouped by order, which is how the fact's last join left them, so
+    only orders move. An order is counted, with its sums, at one of its
+    customers, should it name several.
+    """
+    orders = fact.groupBy(*keys, "order_id").agg(
+        *[F.sum(c).alias(c) for c in _SUMS], F.collect_set("customer_id").alias("customers")
+    )
+    counted = F.coalesce(F.col("place"), F.lit(0)) == 0
+    return (
+        orders.select(*keys, *_SUMS, F.posexplode_outer("customers").alias("place", "customer_id"))
+        .groupBy(*keys, "customer_id")
+        .agg(*[F.sum(F.when(counted, F.col(c))).alias(c) for c in _SUMS], F.count_if(counted).alias("orders"))
+    )
+
+
 def _total(name: str):
     return F.sum(name).alias(name)
 
 
 def kpi_summary(fact: DataFrame) -> DataFrame:
-    total = per_order(delivered(fact), "customer_id").agg(
+    total = _per_customer(delivered(fact)).agg(
         _total("revenue"),
         _total("profit"),
-        F.count_distinct("order_id").alias("orders"),
-        F.count_distinct("customer_id").alias("active_customers"),
+        F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"),
+        F.count("customer_id").alias("active_customers"),
     )
     return total.select(
         round_away("revenue").alias("total_revenue"),
@@ -104,11 +120,11 @@ def top_products_per_category(fact: DataFrame, k: int = 3) -> DataFrame:
 
 def regional_performance(fact: DataFrame) -> DataFrame:
     return (
-        per_order(delivered(fact), "region", "customer_id")
+        _per_customer(delivered(fact), "region")
         .groupBy("region")
         .agg(
-            F.count_distinct("customer_id").alias("customers"),
-            F.count_distinct("order_id").alias("orders"),
+            F.count("customer_id").alias("customers"),
+            _total("orders"),
             _total("revenue"),
             _total("profit"),
         )
@@ -278,29 +294,35 @@ def summary_blocks(cube: DataFrame) -> DataFrame:
     ).orderBy("block", "is_total", "key")
 
 
-def category_year_pivot(
-    cube: DataFrame,
-    years: Sequence[int],
-    regions: Sequence[str] | None = None,
-    months: Sequence[str] | None = None,
+def category_by_year(
+    cube: DataFrame, regions: Sequence[str] | None = None, months: Sequence[str] | None = None
 ) -> DataFrame:
-    """Categories by year: revenue, profit and margin, widest revenue first."""
+    """A row per category and year: revenue, profit, margin, and the category's revenue over all years."""
     kept = cube
     if regions is not None:
         kept = kept.where(F.col("region").isin(*regions))
     if months is not None:
         kept = kept.where(F.col("month").isin(*months))
-    wide = kept.groupBy("category").pivot("year", list(years)).agg(_total("revenue"), _total("profit"))
-    columns = [
-        c
-        for y in years
-        for c in (
-            F.col(f"{y}_revenue").alias(f"revenue_{y}"),
-            F.col(f"{y}_profit").alias(f"profit_{y}"),
-            ratio(f"{y}_profit", f"{y}_revenue").alias(f"margin_{y}"),
-        )
-    ]
-    shown = reduce(add, [F.coalesce(F.col(f"{y}_revenue"), F.lit(0.0)) for y in years])
-    return wide.select("category", *columns, shown.alias("total_revenue")).orderBy(
-        F.desc("total_revenue"), "category"
-    )
+    yearly = kept.groupBy("category", "year").agg(_total("revenue"), _total("profit"))
+    all_years = F.sum("revenue").over(Window.partitionBy("category"))
+    return yearly.select(
+        "category",
+        "year",
+        "revenue",
+        "profit",
+        ratio("profit", "revenue").alias("margin"),
+        round_away(all_years).alias("total_revenue"),
+    ).orderBy(F.desc("total_revenue"), "category", "year")
+
+
+def category_year_pivot(
+    cube: DataFrame, regions: Sequence[str] | None = None, months: Sequence[str] | None = None
+) -> DataFrame:
+    """Categories by year, one column each for revenue, profit and margin of every year in the data."""
+    rows = category_by_year(cube, regions, months)
+    years = [r["year"] for r in rows.select("year").distinct().orderBy("year").collect()]
+    shown = ["revenue", "profit", "margin"]
+    wide = rows.groupBy("category", "total_revenue").pivot("year", years).agg(*[F.first(c).alias(c) for c in shown])
+    # with no year at all, pivot makes no column
+    columns = [F.col(f"{y}_{c}").alias(f"{c}_{y}") for y in years for c in shown]
+    return wide.select("category", *columns, "total_revenue").orderBy(F.desc("total_revenue"), "category")

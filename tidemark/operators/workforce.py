@@ -143,6 +143,7 @@ def risk_points(employees: DataFrame, benchmark: str = "avg", low_pay: float = 0
     else:
         raise ValueError(f"benchmark must be 'avg' or 'median', not {benchmark!r}")
     underpaid = F.col("monthly_income").cast("double") < F.lit(low_pay) * F.col("usual_pay").cast("double")
+    # The signs and their points.
     signs = (
         (F.col("overtime") == "Yes", 2),
         (F.col("job_satisfaction") <= 2, 1),
@@ -152,7 +153,7 @@ def risk_points(employees: DataFrame, benchmark: str = "avg", low_pay: float = 0
     )
     points = sum((F.when(sign, p).otherwise(0) for sign, p in signs), F.lit(0))
     known = employees.where("department IS NOT NULL")
-    return group_join(known, pay, "department", "employee_id").withColumn("risk_points", points).drop("usual_pay")
+    return group_join(known, pay, "department").withColumn("risk_points", points).drop("usual_pay")
 
 
 def rule_based_risk_flags(employees: DataFrame, k: int = 50, benchmark: str = "avg") -> DataFrame:
@@ -286,6 +287,6 @@ def income_relative_log(employees: DataFrame) -> DataFrame:
     """ln(income / median income of the department); NULL unless the ratio is positive."""
     usual = group_median(employees, "department", "monthly_income", "usual_pay", spread_by="employee_id")
     rel = ratio("monthly_income", "usual_pay")
-    return group_join(employees, usual, "department", "employee_id").select(
+    return group_join(employees, usual, "department").select(
         "employee_id", F.when(rel > 0, F.ln(rel)).alias("income_log_ratio")
     )

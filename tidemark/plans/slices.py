@@ -6,7 +6,6 @@ LAST_DAY = "2001-06-30"
 YEARS = [1996, 1997]
 REGIONS = ["ASIA", "EUROPE"]
 CATEGORIES = ["ECONOMY", "PROMO"]
-PIVOT_YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
 DEPARTMENTS = ["Building", "Machinery"]
 OVERTIME = ["Yes"]
 TENURE_BANDS = ["1. 0-2 yrs", "2. 3-5 yrs"]

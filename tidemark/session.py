@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Largest row count this package will hand to ``broadcast()`` or fetch to the driver.
-SMALL_ROWS = 100_000
-
-
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "tidemark") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     spark = (

@@ -37,12 +37,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _with_nation(df: DataFrame, key: str, nation: DataFrame) -> DataFrame:
-    """Nations and regions have 25 and 5 rows in every data set, hence are safe to broadcast."""
-    return df.join(F.broadcast(nation), F.col(key) == F.col("n_nationkey"))
+    return df.join(nation, F.col(key) == F.col("n_nationkey"))
 
 
 def _with_region(df: DataFrame, region: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    return df.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
 
 
 def _twice(when: Column) -> Column:
@@ -53,7 +52,7 @@ def _twice(when: Column) -> Column:
 def city_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(city, state, region): the place dictionary, one row per nation."""
     n = F.col("n_name")
-    city = F.concat(F.upper(F.substring(n, 1, 1)), F.lower(F.substring(n, 2, 100)))
+    city = F.concat(F.upper(F.substring(n, 1, 1)), F.lower(F.substr(n, F.lit(2))))
     places = _with_region(load(spark, sf_dir, "nation"), load(spark, sf_dir, "region"))
     return places.select(city.alias("city"), n.alias("state"), F.col("r_name").alias("region"))
 
@@ -98,7 +97,7 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> RawSales:
         F.col("o_orderdate").cast("date").cast("string").alias("order_date"),
         F.when(priority == "4-NOT SPECIFIED", F.lit(None))
         .when(priority == "5-LOW", " ")
-        .otherwise(F.substring(priority, 3, 100))
+        .otherwise(F.substr(priority, F.lit(3)))
         .alias("ship_mode"),
         F.element_at(F.expr("array(0, 5, 10, 15, 20, 30)"), (o_key % 6 + 1).cast("int")).alias("discount_pct"),
         F.when(o_key % 100 == 0, F.lower(status)).otherwise(status).alias("status"),
@@ -128,7 +127,7 @@ def raw_employees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     k = F.col("c_custkey")
     segment = F.col("c_mktsegment")
-    dept = F.concat(F.upper(F.substring(segment, 1, 1)), F.lower(F.substring(segment, 2, 100)))
+    dept = F.concat(F.upper(F.substring(segment, 1, 1)), F.lower(F.substr(segment, F.lit(2))))
     since = F.floor(F.datediff(last_day, F.coalesce("last_urgent", "first_day")) / 180).cast("int")
     tenure = (k % 13).cast("int")
     over = F.when(F.col("urgent") * 4 >= F.col("orders"), "Yes").otherwise("No")

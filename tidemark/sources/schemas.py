@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_TEXT, _INT, _PRICE, _ID = T.StringType(), T.IntegerType(), T.DecimalType(12, 2), T.StringType()
+_TEXT, _INT, _PRICE, _ID = T.StringType(), T.IntegerType(), T.DecimalType(18, 4), T.StringType()
 
 
 def _schema(**columns: T.DataType) -> T.StructType:

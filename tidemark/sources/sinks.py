@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, DataFrameWriter, Observation
 from pyspark.sql import functions as F
 
 
+def _csv(writer: DataFrameWriter, fmt: str) -> DataFrameWriter:
+    """A header, and quotes doubled inside quoted fields, as CSV readers commonly expect."""
+    return writer.options(header=True, escape='"') if fmt == "csv" else writer
+
+
 def save(df: DataFrame, path: str, fmt: str = "csv") -> int:
     """Overwrite ``path`` with ``df`` and return the row count seen by the write itself."""
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     writer = counted.write.mode("overwrite").format(fmt)
-    if fmt == "csv":
-        writer = writer.option("header", True)
-    writer.save(path)
+    _csv(writer, fmt).save(path)
     return int(seen.get["rows"])
 
 
@@ -33,9 +36,7 @@ def save_fact(fact: DataFrame, path: str, fmt: str = "parquet") -> int:
         .partitionBy("order_month")
         .format(fmt)
     )
-    if fmt == "csv":
-        writer = writer.option("header", True)
-    writer.save(path)
+    _csv(writer, fmt).save(path)
     return int(seen.get["rows"])
 
 
