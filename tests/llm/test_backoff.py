@@ -3,6 +3,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tidemark.llm import backoff
@@ -63,3 +64,19 @@ def test_awkward_rows(spark, awkward, nothing):
     assert backoff.report(nothing).count() == 0
     one = spark.createDataFrame([(1, "only this")], "doc_id long, text string")
     assert backoff.score(one).first().log_score == pytest.approx(3 * math.log(0.4))
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 108])
+def test_hashes_and_counts_survive_packing(parts):
+    rng = np.random.default_rng(parts)
+    for n in (0, 1, 5, 3000):
+        hashes = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        hashes = np.unique(np.concatenate([hashes, hashes[:3] + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)[:n]]))
+        starts, back = backoff._part_starts(parts), []
+        for part, a, b in backoff._slices(hashes, parts):
+            assert ((hashes[a:b] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32) == part).all()
+            gaps, wide, width = backoff.pack_gaps(hashes[a:b], int(starts[part]))
+            back += backoff.unpack_gaps(gaps, wide, width, int(starts[part])).tolist()
+        assert back == hashes.tolist()
+        counts = rng.choice([1, 2, 254, 255, 256, 10**12], n)
+        assert backoff.unpack_counts(*backoff.pack_counts(counts)).tolist() == counts.tolist()

@@ -16,6 +16,8 @@ where the counts of all blocks are summed; every block gets the totals of its ow
 n-grams back, in the order in which it sent them, and sums the logarithms of its
 documents. Only n-grams of the block travel, once each way, and each part is
 bounded by the n-grams that hash there: a frequent n-gram arrives once a block.
+Parts are ranges of hashes, so sorted hashes travel as the gaps between them,
+which takes about six bytes instead of eight, and counts as a byte each.
 
 Words are runs of letters and digits (ASCII lower-cased, all characters beyond
 ASCII count as letters). N-grams are told apart by 64-bit hashes.
@@ -28,13 +30,12 @@ rows without ``doc_id`` are scored like others. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import arrays
+from tidemark.session import cut
 
 #: Longest n-grams counted.
 ORDER = 3
@@ -45,15 +46,14 @@ ALPHA = 0.4
 BLOCK_BYTES = 16 << 20
 
 
-def _by_order(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Hashes of the n-grams of each order up to ``order``, and the first of each row."""
-    hashes, first = arrays.word_hashes(arrays.LOWER[data], offsets, arrays.ALPHANUMERIC)
-    found, starts = [], []
-    for n in range(1, order + 1):
-        grams, at = arrays.grams(hashes, first, n)
-        found.append(grams)
-        starts.append(at)
-    return found, starts
+def _words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all documents of a block, and the first word of each."""
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for _, _, data, offsets in arrays.pieces(table.column("text")):
+        found, first = arrays.word_hashes(arrays.LOWER[data], offsets, arrays.ALPHANUMERIC)
+        hashes.append(found)
+        counts.append(np.diff(first))
+    return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 
 
 def _sorted(table: pa.Table) -> pa.Table:
@@ -61,93 +61,148 @@ def _sorted(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("h", "ascending")])
 
 
-def _distinct(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a block and how often it has each."""
-    parts = [np.concatenate(_by_order(data, offsets, order)[0]) for _, _, data, offsets in arrays.pieces(table.column("text"))]
-    return np.unique(np.concatenate(parts), return_counts=True)
+def _part_starts(parts: int) -> np.ndarray:
+    """The least hash of each part of the count table; parts are ranges of hashes."""
+    return np.array([-(-(p << 32) // parts) << 32 for p in range(parts)], np.uint64)
+
+
+def _slices(hashes: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, first, last + 1) of the sorted hashes in each part that has any."""
+    edges = [*np.searchsorted(hashes, _part_starts(parts)).tolist(), len(hashes)]
+    return [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+
+
+def pack_gaps(hashes: np.ndarray, start: int) -> tuple[bytes, bytes, int]:
+    """Sorted hashes as their gaps, in as few bytes each as nearly all need; wider gaps are listed apart."""
+    gaps = np.diff(hashes, prepend=np.uint64(start))
+    need = int(np.quantile(gaps, 0.999)).bit_length() if len(gaps) else 1
+    width = min(8, max(1, -(-need // 8)))
+    wide = np.flatnonzero(gaps >> np.uint64(8 * width)) if width < 8 else np.zeros(0, np.int64)
+    low = np.ascontiguousarray(gaps).view(np.uint8).reshape(-1, 8)[:, :width]
+    return low.tobytes(), np.stack([wide.astype(np.uint64), gaps[wide]], 1).tobytes(), width
+
+
+def unpack_gaps(low: bytes, wide: bytes, width: int, start: int) -> np.ndarray:
+    gaps = np.zeros((len(low) // width, 8), np.uint8)
+    gaps[:, :width] = np.frombuffer(low, np.uint8).reshape(-1, width)
+    gaps = gaps.reshape(-1).view(np.uint64)
+    listed = np.frombuffer(wide, np.uint64).reshape(-1, 2)
+    gaps[listed[:, 0].astype(np.int64)] = listed[:, 1]
+    if len(gaps):
+        gaps[0] += np.uint64(start)
+    return np.cumsum(gaps)
+
+
+def pack_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts in a byte each; those from 255 on are listed apart."""
+    large = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes(), np.stack([large, counts[large]], 1).astype(np.int64).tobytes()
+
+
+def unpack_counts(small: bytes, large: bytes) -> np.ndarray:
+    counts = np.frombuffer(small, np.uint8).astype(np.int64)
+    listed = np.frombuffer(large, np.int64).reshape(-1, 2)
+    counts[listed[:, 0]] = listed[:, 1]
+    return counts
 
 
-def _split(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, positions) of the hashes in each part of the count table."""
-    part = (hashes % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    edges = np.flatnonzero(np.diff(part[order], prepend=-1))
-    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)]):
-        yield int(part[order[a]]), order[a:b]
+_SENT = "part long, block long, n long, width long, gaps binary, wide binary, counts binary, large binary"
+_TOTALS = "block long, part long, n long, counts binary, large binary"
+
+
+def _table(kind: str, rows: list[tuple]) -> pa.Table:
+    fields = [f.split() for f in kind.split(", ")]
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    return pa.table([pa.array(c, pa.int64() if t == "long" else pa.binary()) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
 def _count(table: pa.Table, order: int, parts: int) -> pa.Table:
-    hashes, counts = _distinct(table, order)
-    block = table.column("block")[0].as_py()
-    rows = [(p, block, hashes[at].tobytes(), counts[at].astype(np.uint32).tobytes()) for p, at in _split(hashes, parts)]
-    columns = list(zip(*rows)) or [[], [], [], []]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["part", "block", "hashes", "counts"])
+    """The distinct n-grams of a block and how often it has each, for every order and part."""
+    words, first = _words(table)
+    block, starts = table.column("block")[0].as_py(), _part_starts(parts)
+    rows = []
+    for n in range(1, order + 1):
+        hashes, counts = np.unique(arrays.grams(words, first, n)[0], return_counts=True)
+        for part, a, b in _slices(hashes, parts):
+            gaps, wide, width = pack_gaps(hashes[a:b], int(starts[part]))
+            rows.append((part, block, n, width, gaps, wide, *pack_counts(counts[a:b])))
+    return _table(_SENT, rows)
 
 
-def _total(table: pa.Table) -> pa.Table:
+def _total(table: pa.Table, parts: int) -> pa.Table:
     """Totals over all blocks, for each block in the order it sent its n-grams."""
-    lists = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+    rows = table.to_pylist()
+    start = int(_part_starts(parts)[rows[0]["part"]])
+    lists = [unpack_gaps(r["gaps"], r["wide"], r["width"], start) for r in rows]
+    counts = np.concatenate([unpack_counts(r["counts"], r["large"]) for r in rows])
     _, at = np.unique(np.concatenate(lists), return_inverse=True)
     totals = np.bincount(at, counts)[at].astype(np.int64)
     ends = np.cumsum([len(x) for x in lists])
-    packed = [totals[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
-    return pa.table({"block": table.column("block"), "part": table.column("part"), "totals": pa.array(packed, pa.binary())})
+    return _table(_TOTALS, [(r["block"], r["part"], r["n"], *pack_counts(totals[a:b])) for r, a, b in zip(rows, [0, *ends[:-1]], ends)])
 
 
-def _score(table: pa.Table, totals: pa.Table, order: int, parts: int, alpha: float, tokens: int) -> pa.Table:
+def _elsewhere(grams: np.ndarray, row: np.ndarray, totals: dict[int, np.ndarray]) -> np.ndarray:
+    """How often each n-gram stands in other documents, from the totals of the block's parts."""
+    if not len(grams):
+        return np.zeros(0, np.int64)
+    known = np.concatenate([totals[p] for p in sorted(totals)])
+    order = np.argsort(grams, kind="stable")  # equal n-grams stay in the order of their documents
+    grams, row = grams[order], row[order]
+    new = np.ones(len(order), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    which = np.cumsum(new) - 1
+    new[1:] |= row[1:] != row[:-1]
+    starts = np.flatnonzero(new)
+    own = np.repeat(np.diff(starts, append=len(order)), np.diff(starts, append=len(order)))
+    out = np.empty(len(order), np.int64)
+    out[order] = known[which] - own
+    return out
+
+
+def _score(table: pa.Table, totals: pa.Table, order: int, alpha: float) -> pa.Table:
     if not table.num_rows:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64()), "n_backoffs": pa.array([], pa.int64())})
+        return _SCORED.empty_table()
     table = _sorted(table)
-    hashes, _ = _distinct(table, order)
-    known = np.zeros(len(hashes), np.int64)
-    sent = dict(zip(totals.column("part").to_pylist(), totals.column("totals").to_pylist()))
-    for part, at in _split(hashes, parts):
-        known[at] = np.frombuffer(sent[part], np.int64)
-    n_tokens, scores, backoffs = [], [], []
-    for _, _, data, offsets in arrays.pieces(table.column("text")):
-        grams, first = _by_order(data, offsets, order)
-        words = np.diff(first[0])
-        row = np.repeat(np.arange(len(words)), words)
-        rest = np.maximum(tokens - words, 1)  # words of the other documents
-        others = [_elsewhere(g, np.repeat(np.arange(len(words)), np.diff(f)), hashes, known) for g, f in zip(grams, first)]
-        place = np.arange(len(row)) - first[0][row]
-        score = np.log(np.maximum(others[0], 1) / rest[row]) + np.where(others[0] > 0, 0.0, np.log(alpha))
-        steps = (others[0] == 0).astype(np.int64)
-        for n in range(2, order + 1):
+    words, first = _words(table)
+    n_tokens = np.diff(first)
+    row = np.repeat(np.arange(len(n_tokens)), n_tokens)
+    place = np.arange(len(row)) - first[row]
+    sent: dict[int, dict[int, np.ndarray]] = {}
+    for r in totals.to_pylist():
+        sent.setdefault(r["n"], {})[r["part"]] = unpack_counts(r["counts"], r["large"])
+    score, steps, alone = np.zeros(len(row)), np.zeros(len(row), np.int64), np.zeros(len(row), bool)
+    shorter, shorter_first = None, None
+    for n in range(1, order + 1):
+        grams, at = arrays.grams(words, first, n)
+        gram_row = np.repeat(np.arange(len(n_tokens)), np.diff(at))
+        seen = _elsewhere(grams, gram_row, sent.get(n, {}))
+        if n == 1:
+            score = np.log(np.maximum(seen, 1)) + np.where(seen > 0, 0.0, np.log(alpha))
+            steps = (seen == 0).astype(np.int64)
+            alone = np.ones(len(row), bool)  # scored as one word, still to be divided by all words
+        else:
             # the n-gram that ends at a word, and the shorter one that is its history
             has = np.flatnonzero(place >= n - 1)
-            at = first[n - 1][row[has]] + place[has] - (n - 1)
-            seen = others[n - 1][at]
-            history = others[n - 2][first[n - 2][row[has]] + place[has] - (n - 1)]
-            score[has] = np.where(seen > 0, np.log(np.maximum(seen, 1) / np.maximum(history, 1)), np.log(alpha) + score[has])
-            steps[has] = np.where(seen > 0, 0, steps[has] + 1)
-        n_tokens.append(words)
-        scores.append(np.bincount(row, score, len(words)))
-        backoffs.append(np.bincount(row, steps, len(words)))
-    words = np.concatenate(n_tokens)
+            found = seen[at[row[has]] + place[has] - (n - 1)]
+            history = shorter[shorter_first[row[has]] + place[has] - (n - 1)]
+            score[has] = np.where(found > 0, np.log(np.maximum(found, 1) / np.maximum(history, 1)), np.log(alpha) + score[has])
+            steps[has] = np.where(found > 0, 0, steps[has] + 1)
+            alone[has] &= found == 0
+        shorter, shorter_first = seen, at
+    documents = len(n_tokens)
     return pa.table(
         {
             "doc_id": table.column("doc_id"),
-            "n_tokens": pa.array(words, pa.int64()),
-            "log_score": pa.array(np.concatenate(scores), pa.float64(), mask=words == 0),
-            "n_backoffs": pa.array(np.concatenate(backoffs).astype(np.int64)),
-        }
+            "n_tokens": pa.array(n_tokens, pa.int64()),
+            "log_sum": pa.array(np.bincount(row, score, documents), pa.float64()),
+            "n_alone": pa.array(np.bincount(row, alone, documents).astype(np.int64)),
+            "n_backoffs": pa.array(np.bincount(row, steps, documents).astype(np.int64)),
+        },
+        schema=_SCORED,
     )
 
 
-def _elsewhere(grams: np.ndarray, row: np.ndarray, hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """How often each n-gram stands in other documents."""
-    total = known[np.searchsorted(hashes, grams)]
-    # its count in its own document, by sorting n-grams within rows
-    order = np.lexsort((grams, row))
-    new = np.ones(len(order), bool)
-    new[1:] = (grams[order[1:]] != grams[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
-    group = np.cumsum(new) - 1
-    own = np.empty(len(order), np.int64)
-    own[order] = np.bincount(group, minlength=0)[group] if len(group) else 0
-    return total - own
+_SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_sum", pa.float64()), ("n_alone", pa.int64()), ("n_backoffs", pa.int64())])
 
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -155,27 +210,33 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_bytes
 
     Divide ``log_score`` by ``n_tokens`` for a score per word.
     """
-    size = docs.agg(
-        F.sum(F.octet_length("text").cast("long")).alias("bytes"),
-        F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).alias("tokens"),
-    ).first()
-    parts = max(1, -(-(size["bytes"] or 0) // block_bytes))
-    tokens = size["tokens"] or 0
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n_blocks = max(1, -(-total // block_bytes))
+    parts = 2 * n_blocks
     blocks = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("block"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("h"),
         F.col("text").cast("binary").alias("text"),
     )
-    counts = blocks.groupBy("block").applyInArrow(lambda t: _count(t, order, parts), "part long, block long, hashes binary, counts binary")
-    totals = counts.groupBy("part").applyInArrow(_total, "block long, part long, totals binary")
-    return (
+    counts = blocks.groupBy("block").applyInArrow(lambda t: _count(t, order, parts), _SENT)
+    totals = counts.groupBy("part").applyInArrow(lambda t: _total(t, parts), _TOTALS)
+    scored = cut(
         blocks.groupBy("block")
         .cogroup(totals.groupBy("block"))
         .applyInArrow(
-            lambda t, c: _score(t, c, order, parts, alpha, tokens), "doc_id long, n_tokens long, log_score double, n_backoffs long"
+            lambda t, c: _score(t, c, order, alpha), "doc_id long, n_tokens long, log_sum double, n_alone long, n_backoffs long"
         )
     )
+    # words scored alone are relative to all words of the other documents
+    tokens = scored.agg(F.sum("n_tokens")).first()[0] or 0
+    others = F.greatest(F.lit(tokens) - F.col("n_tokens"), F.lit(1))
+    return scored.select(
+        "doc_id",
+        "n_tokens",
+        F.when(F.col("n_tokens") > 0, F.col("log_sum") - F.col("n_alone") * F.ln(others)).alias("log_score"),
+        "n_backoffs",
+    )
 
 
 def report(docs: DataFrame) -> DataFrame:
