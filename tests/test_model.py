@@ -140,8 +140,13 @@ def test_dummies(spark):
     assert got.columns == ["employee_id", "kind_b", "kind_c"]
     assert sorted(map(tuple, got.collect())) == [(1, 1, 0), (2, 0, 0), (3, 0, 1), (4, 0, 0)]
     assert list(features.dummies({"kind": ["a", "b", "c"]}, {"kind": "b"}, sep="")) == ["kinda", "kindc"]
-    with pytest.raises(ValueError, match="levels"):
-        features.category_levels(df, ["kind"], limit=2)
+
+
+def test_two_thousand_levels(spark):
+    df = spark.range(4000).select(F.col("id").alias("employee_id"), (F.col("id") % 2000).cast("string").alias("kind"))
+    assert len(features.category_levels(df, ["kind"])["kind"]) == 2000
+    few = features.one_hot_drop_first(df, ["kind"])
+    assert len(few.columns) == 2000 and few.where("kind_1999 = 1").count() == 2
 
 
 def test_class_weights(spark):

@@ -65,8 +65,8 @@ def test_top_k_needs_no_full_sort(spark):
 
 def test_unused_medians_are_not_computed(spark):
     plan = executed(registry.queries()["attrition_by_overtime"](spark, SF))
-    assert "percentile_approx" not in plan
-    assert "percentile_approx" in executed(registry.queries()["workforce_kpis"](spark, SF))
+    assert "role_median" not in plan
+    assert "role_median" in executed(registry.queries()["workforce_kpis"](spark, SF))
 
 
 def test_single_task_steps_see_only_grouped_rows(spark):
@@ -147,3 +147,14 @@ def test_copies_collapse_before_the_shuffle(spark):
     plan = executed(cleaning.clean_orders(raw))
     assert plan.count("HashAggregate") >= 2
     assert cleaning.clean_orders(raw).count() == 1
+
+
+@pytest.mark.parametrize("name", ["kpi_summary", "regional_performance", "discount_impact"])
+def test_lines_move_twice_and_are_never_doubled(spark, conf, name):
+    conf(spark__sql__autoBroadcastJoinThreshold=-1, spark__sql__adaptive__autoBroadcastJoinThreshold=-1)
+    conf(spark__sql__adaptive__forceOptimizeSkewedJoin="false")
+    plan = registry._QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    by_order = re.findall(r"Exchange hashpartitioning\(order_id#\d+L, \d+\)", plan)
+    by_product = re.findall(r"Exchange hashpartitioning\(product_id#\d+L, \d+\)", plan)
+    # two sides of each join, and no further shuffle on the order
+    assert "Expand" not in plan and len(by_order) == 2 and len(by_product) == 2, plan

@@ -193,6 +193,11 @@ def metrics_of(ready: DataFrame, fitted: Fitted) -> DataFrame:
     return auc.unionByName(of_left).select("metric", F.bround("value", 3).alias("value"))
 
 
+def report_of(ready: DataFrame, fitted: Fitted) -> DataFrame:
+    """Classification report of the fitted model on the held-out quarter."""
+    return classification_report(held_out_scores(ready, fitted), left(), F.col("probability") > 0.5)
+
+
 def model_metrics(employees: DataFrame) -> DataFrame:
     return metrics_of(*train(employees))
 

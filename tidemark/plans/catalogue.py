@@ -131,6 +131,7 @@ def run_tests_and_model(employees: DataFrame, folder: str, fmt: str = "csv") ->
         "statistical_tests": stats.statistical_tests(ready),
         "model_drivers": model.drivers_of(ready, fitted),
         "model_metrics": model.metrics_of(ready, fitted),
+        "model_report": model.report_of(ready, fitted),
         "high_risk_employees": model.risk_list_of(ready, fitted),
         "odds_ratios": model.odds_ratios_wald(ready),
     }
