@@ -42,6 +42,9 @@ SAMPLE = 12_000
 #: Every FOLDS-th document, by checksum of its id, is held out.
 FOLDS = 5
 
+#: Bounds tried for how many standard errors a word's log-odds must be from 0.
+LEAST_Z = (2.0, 3.0, 4.0, 5.0, 6.0)
+
 #: Bytes of a word's beginning that stand in for an unknown word, longest first.
 BEGINNINGS = (5, 4)
 
@@ -118,24 +121,20 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b + 1, high - low) for low, high, a, b, _ in stack]
 
 
-def _segments(column: pa.Array, model: Model) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
-    """For each text: its words, and its segments as (first byte, last byte + 1, sum)."""
+def _segments(column: pa.Array, models: list[Model]) -> Iterator[tuple[int, list[list[tuple[int, int, float]]]]]:
+    """For each text: its words, and for each model its segments as (first byte, last byte + 1, sum)."""
     for _, _, data, offsets in arrays.pieces(column):
         found, starts, ends, first = _features(data, offsets)
-        scores = model.word_scores(found)
-        positive = np.concatenate([[0], np.cumsum(scores > 0)])
+        scores = [m.word_scores(found) for m in models]
+        positive = [np.concatenate([[0], np.cumsum(s > 0)]) for s in scores]
         for k in range(len(offsets) - 1):
             a, b = first[k], first[k + 1]
-            if positive[b] == positive[a]:
-                yield int(b - a), []
-                continue
-            yield (
-                int(b - a),
-                [
-                    (int(starts[a + x] - offsets[k]), int(ends[a + y - 1] - offsets[k]), s)
-                    for x, y, s in maximal_segments(scores[a:b])
-                ],
-            )
+            yield int(b - a), [
+                [(int(starts[a + x] - offsets[k]), int(ends[a + y - 1] - offsets[k]), t) for x, y, t in maximal_segments(s[a:b])]
+                if p[b] > p[a]
+                else []
+                for s, p in zip(scores, positive)
+            ]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -182,12 +181,15 @@ def _fit(hashes: np.ndarray, clean: np.ndarray, toxic: np.ndarray, sizes: tuple[
     return Model(hashes[significant][order], odds[significant][order], drift)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float = 0.1, least_z: float = 2.0, drift: float = 0.25) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float = 0.1, least_z: tuple[float, ...] = LEAST_Z, drift: float = 0.25
+) -> Model:
     """Fit word scores and calibration; only rows that are not held out are read.
 
     The calibration reads each half of the sample with the word scores of the
     other half, so that words which stand in toxic texts by chance count as they
-    will on new texts.
+    will on new texts. Of several bounds for the significance of a word, the one
+    under which the halves predict each other best is taken.
     """
     rows = cut(_sample(docs, labels, sample))
     kind = (2 * F.col("half") + F.col("toxic")).cast("int").alias("kind")
@@ -201,38 +203,50 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float
     # features of the sample; one of a single document is never significant
     table = counts.groupBy("hash").agg(*[F.sum(n).alias(n) for n in names]).where("n0 + n1 + n2 + n3 >= 2").toPandas()
     hashes, n = table["hash"].to_numpy(np.int64).view(np.uint64), [table[x].to_numpy(float) for x in names]
-    settings = (prior, least_z, drift)
-    halves = [_fit(hashes, n[2 * h], n[2 * h + 1], (sizes[2 * h], sizes[2 * h + 1]), *settings) for h in (0, 1)]
-    model = _fit(hashes, n[0] + n[2], n[1] + n[3], (sizes[0] + sizes[2], sizes[1] + sizes[3]), *settings)
-    return _calibrate(rows, model, halves)
+    tries = []
+    for z in sorted(least_z, reverse=True):
+        settings = (prior, z, drift)
+        halves = [_fit(hashes, n[2 * h], n[2 * h + 1], (sizes[2 * h], sizes[2 * h + 1]), *settings) for h in (0, 1)]
+        whole = _fit(hashes, n[0] + n[2], n[1] + n[3], (sizes[0] + sizes[2], sizes[1] + sizes[3]), *settings)
+        tries.append((whole, halves))
+    return _calibrated(rows, tries)
 
 
-def _calibrate(rows: DataFrame, model: Model, halves: list[Model]) -> Model:
-    held = rows.sparkSession.sparkContext.broadcast(halves)
+def _calibrated(rows: DataFrame, tries: list[tuple[Model, list[Model]]]) -> Model:
+    """The model whose halves predict each other best, with its calibration."""
+    held = rows.sparkSession.sparkContext.broadcast([halves for _, halves in tries])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             half = batch.column(2).to_numpy(zero_copy_only=False)
             for h in (0, 1):
                 mine = batch.filter(pa.array(half == h))
-                read = list(_segments(mine.column(0), held.value[1 - h]))
+                found = list(_segments(mine.column(0), [halves[1 - h] for halves in held.value]))
+                sums = [[[s for _, _, s in x] for x in each] for _, each in found]
                 yield pa.RecordBatch.from_arrays(
-                    [mine.column(1), pa.array([w for w, _ in read], pa.int64()), pa.array([[s for _, _, s in x] for _, x in read], pa.list_(pa.float64()))],
+                    [mine.column(1), pa.array([w for w, _ in found], pa.int64()), pa.array(sums, pa.list_(pa.list_(pa.float64())))],
                     names=["toxic", "n", "sums"],
                 )
 
     # one row for each document of the sample
-    seen = rows.select(F.col("text").cast("binary"), "toxic", "half").mapInArrow(read, "toxic int, n long, sums array<double>").collect()
-    tail = np.array([s for r in seen if r["toxic"] == 0 for s in r["sums"]])
-    floor = float(np.median(tail)) if len(tail) else 1.0
-    above = tail[tail >= floor]
-    # one unit of prior weight keeps both finite when clean texts have no segment
-    model.rate = float((len(above) + 1) / ((above - floor).sum() + 1))
-    words = sum(r["n"] for r in seen if r["toxic"] == 0) + 1
-    model.k = float((len(above) + 0.5) / words * np.exp(model.rate * floor))
-    x = np.array([model.evidence(r["sums"], max(r["n"], 1)) for r in seen])
-    model.intercept, model.slope = _logistic(np.log1p(x), np.array([r["toxic"] for r in seen], float))
-    return model
+    shape = "toxic int, n long, sums array<array<double>>"
+    seen = rows.select(F.col("text").cast("binary"), "toxic", "half").mapInArrow(read, shape).collect()
+    y, words = np.array([r["toxic"] for r in seen], float), sum(r["n"] for r in seen if r["toxic"] == 0) + 1
+    best = None
+    for k, (model, _) in enumerate(tries):
+        tail = np.array([s for r in seen if r["toxic"] == 0 for s in r["sums"][k]])
+        floor = float(np.median(tail)) if len(tail) else 1.0
+        above = tail[tail >= floor]
+        # one unit of prior weight keeps both finite when clean texts have no segment
+        model.rate = float((len(above) + 1) / ((above - floor).sum() + 1))
+        model.k = float((len(above) + 0.5) / words * np.exp(model.rate * floor))
+        x = np.log1p([model.evidence(r["sums"][k], max(r["n"], 1)) for r in seen])
+        model.intercept, model.slope = _logistic(x, y)
+        p = 1 / (1 + np.exp(-np.clip(model.intercept + model.slope * x, -30, 30)))
+        loss = float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+        if best is None or loss < best[0]:
+            best = (loss, model)
+    return best[1]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -257,7 +271,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
 
     def read(columns: list[pa.Array]) -> pa.Array:
         m, made = held.value, []
-        for n, segments in _segments(columns[0], m):
+        for n, (segments,) in _segments(columns[0], [m]):
             n = max(n, 1)
             expected = [(a, b, s, float(np.log(m.k * n) - m.rate * s)) for a, b, s in segments]
             made.append(
