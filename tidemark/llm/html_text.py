@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.rows import quoted, with_arrow_column
+from tidemark.session import cut
 
 #: Parts into which the different streams of a host are dealt before they meet.
 SALTS = 16
@@ -360,7 +361,8 @@ class Extractor:
 
 def extract(pages: DataFrame, name: str = "text") -> DataFrame:
     """``pages`` with the main text of ``html`` in a column ``name``."""
-    found = wrappers(pages).select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"))
+    # written first, so that Spark knows their bytes: few wrappers go to the pages, and no page moves
+    found = cut(wrappers(pages).select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper")))
     joined = pages.withColumn("__of", host_of("url")).join(found, F.col("__of") == F.col("__host"), "left")
 
     def run(columns: list[pa.Array]) -> pa.Array:
