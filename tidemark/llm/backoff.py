@@ -17,7 +17,8 @@ n-grams back, in the order in which it sent them, and sums the logarithms of its
 documents. Only n-grams of the block travel, once each way, and each part is
 bounded by the n-grams that hash there: a frequent n-gram arrives once a block.
 Parts are ranges of hashes, so sorted hashes travel as the gaps between them,
-which takes about six bytes instead of eight, and counts as a byte each.
+which takes about six bytes instead of eight, and counts as a byte each; texts
+travel compressed, those of a task and a block together.
 
 Words are runs of letters and digits (ASCII lower-cased, all characters beyond
 ASCII count as letters). N-grams are told apart by 64-bit hashes.
@@ -30,6 +31,8 @@ rows without ``doc_id`` are scored like others. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -43,7 +46,7 @@ ORDER = 3
 ALPHA = 0.4
 
 #: Bytes of text in a block, as far as single texts allow.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def _words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -56,9 +59,26 @@ def _words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 
 
-def _sorted(table: pa.Table) -> pa.Table:
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of a batch by block, compressed."""
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        order = np.argsort(block, kind="stable")
+        edges = np.flatnonzero(np.diff(block[order], prepend=-1))
+        packed = []
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)]):
+            sink = pa.BufferOutputStream()
+            part = batch.select([1, 2, 3]).take(pa.array(order[a:b]))
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(part)
+            packed.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(block[order[edges]]), pa.array(packed, pa.binary())], names=["block", "docs"])
+
+
+def _texts(table: pa.Table) -> pa.Table:
     """The documents of a block in an order that repeats."""
-    return table.sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("docs")]
+    return pa.concat_tables(parts).sort_by([("doc_id", "ascending"), ("h", "ascending")])
 
 
 def _part_starts(parts: int) -> np.ndarray:
@@ -118,7 +138,7 @@ def _table(kind: str, rows: list[tuple]) -> pa.Table:
 
 def _count(table: pa.Table, order: int, parts: int) -> pa.Table:
     """The distinct n-grams of a block and how often it has each, for every order and part."""
-    words, first = _words(table)
+    words, first = _words(_texts(table))
     block, starts = table.column("block")[0].as_py(), _part_starts(parts)
     rows = []
     for n in range(1, order + 1):
@@ -147,38 +167,41 @@ def _elsewhere(grams: np.ndarray, row: np.ndarray, totals: dict[int, np.ndarray]
         return np.zeros(0, np.int64)
     known = np.concatenate([totals[p] for p in sorted(totals)])
     order = np.argsort(grams, kind="stable")  # equal n-grams stay in the order of their documents
-    grams, row = grams[order], row[order]
     new = np.ones(len(order), bool)
+    grams = grams[order]
     new[1:] = grams[1:] != grams[:-1]
-    which = np.cumsum(new) - 1
+    del grams
+    total = known[np.cumsum(new, dtype=np.int32) - 1]
+    row = row[order]
     new[1:] |= row[1:] != row[:-1]
-    starts = np.flatnonzero(new)
-    own = np.repeat(np.diff(starts, append=len(order)), np.diff(starts, append=len(order)))
+    own = np.diff(np.flatnonzero(new), append=len(order))
+    total -= np.repeat(own, own)
     out = np.empty(len(order), np.int64)
-    out[order] = known[which] - own
+    out[order] = total
     return out
 
 
 def _score(table: pa.Table, totals: pa.Table, order: int, alpha: float) -> pa.Table:
     if not table.num_rows:
         return _SCORED.empty_table()
-    table = _sorted(table)
+    table = _texts(table)
     words, first = _words(table)
     n_tokens = np.diff(first)
-    row = np.repeat(np.arange(len(n_tokens)), n_tokens)
-    place = np.arange(len(row)) - first[row]
+    row = np.repeat(np.arange(len(n_tokens), dtype=np.int32), n_tokens)
+    place = (np.arange(len(row)) - first[row]).astype(np.int32)
     sent: dict[int, dict[int, np.ndarray]] = {}
     for r in totals.to_pylist():
         sent.setdefault(r["n"], {})[r["part"]] = unpack_counts(r["counts"], r["large"])
-    score, steps, alone = np.zeros(len(row)), np.zeros(len(row), np.int64), np.zeros(len(row), bool)
+    score, steps, alone = np.zeros(len(row)), np.zeros(len(row), np.int16), np.zeros(len(row), bool)
     shorter, shorter_first = None, None
     for n in range(1, order + 1):
         grams, at = arrays.grams(words, first, n)
-        gram_row = np.repeat(np.arange(len(n_tokens)), np.diff(at))
-        seen = _elsewhere(grams, gram_row, sent.get(n, {}))
+        gram_row = np.repeat(np.arange(len(n_tokens), dtype=np.int32), np.diff(at))
+        seen = _elsewhere(grams, gram_row, sent.pop(n, {}))
+        del grams, gram_row
         if n == 1:
             score = np.log(np.maximum(seen, 1)) + np.where(seen > 0, 0.0, np.log(alpha))
-            steps = (seen == 0).astype(np.int64)
+            steps = (seen == 0).astype(np.int16)
             alone = np.ones(len(row), bool)  # scored as one word, still to be divided by all words
         else:
             # the n-gram that ends at a word, and the shorter one that is its history
@@ -218,7 +241,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_bytes
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("h"),
         F.col("text").cast("binary").alias("text"),
-    )
+    ).mapInArrow(_pack_texts, "block long, docs binary")
     counts = blocks.groupBy("block").applyInArrow(lambda t: _count(t, order, parts), _SENT)
     totals = counts.groupBy("part").applyInArrow(lambda t: _total(t, parts), _TOTALS)
     scored = cut(
