@@ -79,7 +79,7 @@ def _star_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.run_catalogue(
-        spark, given.raw_sales(spark, sf_dir), given.raw_employees(spark, sf_dir), scratch_path(spark, "catalogue")
+        spark, given.raw_sales(spark, sf_dir), given.raw_employees(spark, sf_dir), scratch_path(spark, "catalogue"), strict=False
     )
 
 
