@@ -78,6 +78,42 @@ def test_similar_sets_always_share_a_signature():
             assert set(keys[sets == 0]) & set(keys[sets == 1]), (size, drop)
 
 
+@pytest.mark.parametrize("percent", [90, 80, 60])
+def test_similar_sets_share_a_signature_at_every_size_and_cut(percent, monkeypatch):
+    rng = np.random.default_rng(percent)
+    for rounds in (16, 1):  # with one round the thin sets have to meet in their band
+        monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+        scheme = jaccard_join.Scheme(percent)
+        for size in [*range(1, 60), 130, 700]:
+            for _ in range(15):
+                one = rng.integers(1, 1 << 62, size).astype(np.uint64)
+                most = int(scheme.differences(np.array([size]))[0])
+                drop = int(rng.integers(0, most + 1))
+                other = np.concatenate([one[drop:], rng.integers(1, 1 << 62, int(rng.integers(0, most - drop + 1))).astype(np.uint64)])
+                common = len(np.intersect1d(one, other))
+                if not common or 100 * common < percent * (len(one) + len(other) - common):
+                    continue
+                keys, sets = scheme.signatures(np.concatenate([one, other]), np.array([0, len(one), len(one) + len(other)]))
+                assert set(keys[sets == 0]) & set(keys[sets == 1]), (size, drop, rounds)
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 8, 9, 18, 32, 46, 60, 300])
+def test_sets_without_a_common_gram_share_no_signature(percent, size):
+    rng = np.random.default_rng(size)
+    number = 6000 // size + 400
+    grams = rng.integers(1, 1 << 62, number * size).astype(np.uint64)
+    keys, sets = jaccard_join.Scheme(percent).signatures(grams, np.arange(number + 1) * size)
+    assert len(np.unique(np.stack([keys, sets.astype(np.uint64)], 1), axis=0)) == len(np.unique(keys))
+    assert set(sets) == set(range(number))
+
+
+def test_sets_that_only_equal_ones_resemble_have_one_signature():
+    grams = np.arange(1, 9, dtype=np.uint64)
+    for size in range(1, 9):
+        assert len(jaccard_join.Scheme(90).signatures(grams[:size], np.array([0, size]))[0]) == 1
+
+
 def test_sketches_never_differ_by_more_than_the_sets():
     rng = np.random.default_rng(1)
     one = rng.integers(0, 1 << 62, 3000).astype(np.uint64)

@@ -7,12 +7,18 @@ grams it has in a segment. Two sets that may be similar share such a signature:
 
 * Small sets (a band that allows few differences) get half as many segments,
   each indexed with its one-deletion neighbourhood: the segment's hash, and the
-  hash of the segment without each one gram. Every segment then takes up two
-  differences instead of one.
-* Larger sets get one segment for each difference and a few more. Empty segments
-  are skipped, as they would join everything; a set goes on until it has one
-  signature more than it may have differences. A set that runs out of segments
-  is compared with its whole band instead.
+  hash of the segment without each one gram. Every segment of two grams or more
+  then takes up two differences instead of one, a segment of one gram takes up
+  one, an empty one none.
+* Larger sets get one segment for each difference and a few more; a set goes on
+  until it has one signature more than it may have differences.
+
+Nothing empty is a signature, neither a segment nor what a deletion leaves of it,
+as it would join everything. A set whose segments do not take up its differences
+is cut again by another hash, up to ``ROUNDS`` times, and compared with the sets
+of its band that never got enough either: two similar sets meet in the first
+round in which one of them has enough. Sets so small that only an equal one is
+similar have their own hash as their only signature.
 
 Which of the two a band gets is decided by cost: the signatures a set needs, and
 the grams that are left in each to tell sets apart.
@@ -48,6 +54,9 @@ from tidemark.session import cut
 #: Ratio of the largest to the smallest size in a band.
 BAND = 1.2
 
+#: Ways to cut the universe that are tried on a set whose segments are too thin.
+ROUNDS = 16
+
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -68,6 +77,11 @@ class Scheme:
         cost_small = high + small + 10 * high * np.exp(-high / small / 2)
         cost_large = most + 1 + 10 * high * np.exp(-high / large / 2)
         self.deletions = cost_small <= cost_large
+        # more segments where too few are expected to hold two grams
+        for _ in range(50):
+            missing = small * np.exp(-self.low[:-1] / small) * (2 + self.low[:-1] / small)
+            few = (missing > (2 * small - most) / 4) & (small < high)
+            small = np.where(few, np.minimum(small + 1 + small // 100, high), small)
         self.segments = np.where(self.deletions, small, large)
 
     def differences(self, size: np.ndarray) -> np.ndarray:
@@ -84,23 +98,38 @@ class Scheme:
     def signatures(self, grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signatures of sets given as flat arrays, and the set of each."""
         sizes = np.diff(first)
-        keys, sets = [], []
+        most = self.differences(sizes)
+        alone = np.flatnonzero((sizes > 0) & (most == 0))
+        keys, sets = [arrays.mix(set_ids(grams, first)[alone] ^ _SEED)], [alone]
         own, last = self.band(sizes), self.reach(sizes)
         for step in range(int((last - own).max(initial=-1)) + 1):
-            chosen = np.flatnonzero((sizes > 0) & (own + step <= last))
+            chosen = np.flatnonzero((most > 0) & (own + step <= last))
             band = own[chosen] + step
             for deletions in (False, True):
                 these = self.deletions[band] == deletions
                 made = self._signatures(grams, first, chosen[these], band[these], deletions)
                 keys.append(made[0])
                 sets.append(made[1])
-        if not keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         return np.concatenate(keys), np.concatenate(sets)
 
     def _signatures(self, grams: np.ndarray, first: np.ndarray, sets: np.ndarray, band: np.ndarray, deletions: bool) -> tuple[np.ndarray, np.ndarray]:
+        keys, of = [], []
+        for turn in range(ROUNDS):
+            if not len(sets):
+                break
+            made, owner, thin = self._cut(grams, first, sets, band, deletions, turn)
+            keys.append(made)
+            of.append(sets[owner])
+            sets, band = sets[thin], band[thin]
+        return np.concatenate([*keys, arrays.mix(~band.astype(np.uint64))]), np.concatenate([*of, sets])
+
+    def _cut(
+        self, grams: np.ndarray, first: np.ndarray, sets: np.ndarray, band: np.ndarray, deletions: bool, turn: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Signatures by one way to cut the universe, the place of each one's set in ``sets``, and the sets that need another."""
         sizes = first[sets + 1] - first[sets]
-        tokens = arrays.mix(grams[arrays.ranges(first[sets], sizes)] ^ _SEED)
+        seed = _SEED if turn == 0 else arrays.mix(np.array([turn], np.uint64))
+        tokens = arrays.mix(grams[arrays.ranges(first[sets], sizes)] ^ seed)
         m = self.segments[band]
         offset = np.cumsum(m) - m
         of = np.repeat(np.arange(len(sets)), sizes)
@@ -108,19 +137,20 @@ class Scheme:
         cell = offset[of] + segment
         sums = np.zeros(int(m.sum()), np.uint64)
         np.add.at(sums, cell, tokens)
+        count = np.bincount(cell, minlength=len(sums))
         owner = np.repeat(np.arange(len(sets)), m)
         place = arrays.mix((band[owner].astype(np.uint64) << np.uint64(40)) + (np.arange(len(owner)) - offset[owner]).astype(np.uint64))
+        full = count > 0
+        most = self.differences(sizes)
         if deletions:
-            keys = np.concatenate([arrays.mix(sums ^ place), arrays.mix((sums[cell] - tokens) ^ place[cell])])
-            return keys, sets[np.concatenate([owner, of])]
-        full = np.bincount(cell, minlength=len(sums)) > 0
+            left = count[cell] > 1
+            thin = np.add.reduceat(np.minimum(count, 2), offset) <= most
+            keys = np.concatenate([arrays.mix(sums[full] ^ place[full]), arrays.mix((sums[cell] - tokens)[left] ^ place[cell[left]])])
+            return keys, np.concatenate([owner[full], of[left]]), thin
         rank = np.cumsum(full)
         before = np.concatenate([[0], rank])[offset]
-        wanted = self.differences(sizes) + 1
-        chosen = full & (rank - before[owner] <= wanted[owner])
-        thin = np.flatnonzero(np.add.reduceat(full, offset) < wanted) if len(sets) else np.zeros(0, np.int64)
-        keys = np.concatenate([arrays.mix(sums[chosen] ^ place[chosen]), arrays.mix(~(band[thin].astype(np.uint64)))])
-        return keys, sets[np.concatenate([owner[chosen], thin])]
+        chosen = full & (rank - before[owner] <= most[owner] + 1)
+        return arrays.mix(sums[chosen] ^ place[chosen]), owner[chosen], np.add.reduceat(full, offset, dtype=np.int64) <= most
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
