@@ -62,6 +62,34 @@ def test_without_an_article_what_all_pages_share_goes():
     assert [reader.text(p) for p in pages[:3]] == ["Head 0 Body 0.", "Head 1 Body 1. more 1", "Head 2 Body 2. more 2 more 2"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content with-sidebar"><p>kept</p></div>',
+        '<div class="post no-comments"><p>kept</p></div>',
+        '<article><h2 id="comment-faire">kept</h2></article>',
+        '<article><h2 id="search-menu">kept</h2></article>',
+        '<div><h2 id="search-menu">kept</h2></div>',
+        '<article><section id="related-work"><p>kept</p></section></article>',
+        '<article><section id="search"><p class="notice">kept</p></section></article>',
+        '<div class="has-header"><p>kept</p></div>',
+        '<div class="sidebar">x</div><div class="entry-content">kept</div><div id="cookie-notice">x</div>',
+    ],
+)
+def test_a_name_drops_nothing_of_the_article(page):
+    assert text(f"<body>{page}</body>") == "kept"
+
+
+def test_text_decides_between_slots_not_the_name_alone():
+    meta = '<div class="entry-meta">by x</div><div class="body">A long text of the article.</div>'
+    assert text(meta) == "by x A long text of the article."
+    pages = [f'<div class="entry">by {k}</div><div><p>A long text of article {k}.</p></div>' for k in range(5)]
+    reader = html_text.Extractor(wrapper(pages))
+    assert [reader.text(p) for p in pages[:2]] == ["by 0 A long text of article 0.", "by 1 A long text of article 1."]
+    pages = [f'<div class="content"><h2>Same line</h2><p>A long text of article {k}.</p></div><div>by {k}</div>' for k in range(5)]
+    assert html_text.Extractor(wrapper(pages)).text(pages[1]) == "Same line A long text of article 1."
+
+
 def test_the_wrapper_does_not_depend_on_the_order_of_pages():
     pages = [f"<article><h1>{k}</h1>{'<p>x</p>' * k}{'<ul><li>y</li></ul>' * (k % 2)}</article>" for k in range(7)]
     assert wrapper(pages) == wrapper(pages[::-1])

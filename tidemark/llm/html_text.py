@@ -11,9 +11,13 @@ folded again. The result is the host's wrapper, an expression of tags, slots,
 Every slot of a wrapper knows how much text the pages have there, how much of it
 is linked, and whether it is the same on all pages. The main text is what stands
 in the slots of the article. Slots under menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments are never part of it. On a
-page without any mark of an article, the slots left over count unless they are
-the same on all pages of the host or consist of links.
+notices, adverts, forms, scripts, styles and comments are never part of it. A
+class or id counts as a whole (``sidebar``, not ``with-sidebar``); inside an
+article ids count for nothing, and headings and text blocks are never dropped by
+name. On a page without an article or main element, slots named like an article are
+taken alone if they hold at least half of the text left over on the host's pages;
+else the other slots count too, unless they are the same on all pages of the host
+or consist of links.
 
 Pages of a host are first folded into their different streams in the task that
 reads them, then aligned in ``SALTS`` parts of the host, and those parts with
@@ -33,6 +37,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -70,6 +75,9 @@ _DROPPED_NAMES = frozenset(
 #: Dropped only outside an article, which may have a header of its own.
 _OUTER = frozenset("header banner masthead topbar".split())
 _MAIN_NAMES = frozenset("article content main maincontent post entry story".split())
+_MAIN_WORDS = _MAIN_NAMES | {"body", "text"}
+#: Text of their own, whose id is a link target and says nothing about them.
+_TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre table td th figure".split())
 #: A new one of these ends an open one.
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
@@ -83,6 +91,14 @@ def _attributes(source: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(source)} if source.strip(" /") else {}
 
 
+@lru_cache(maxsize=1 << 14)
+def _names(source: str) -> tuple[bool, bool, bool]:
+    """Whether one of these names is dropped, dropped outside an article, or an article's: with all its words."""
+    found = [words for words in map(set, map(_NAME.findall, source.split())) if words]
+    main = any(words <= _MAIN_WORDS and words & _MAIN_NAMES for words in found)
+    return any(words <= _DROPPED_NAMES for words in found), any(words <= _OUTER for words in found), main
+
+
 def _rank(name: str, attributes: dict[str, str], inside: int) -> int:
     """Rank of text in an element: -1 dropped, 0 none, 1 named like, 2 main part, 3 article; ``inside`` is its parent's."""
     if inside < 0 or name in _DROPPED or name in _RAW:
@@ -90,16 +106,20 @@ def _rank(name: str, attributes: dict[str, str], inside: int) -> int:
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
         return -1
     role = attributes.get("role", "")
-    names = set(_NAME.findall(attributes.get("class", "") + " " + attributes.get("id", "")))
-    if role in _DROPPED_ROLES or (names & _DROPPED_NAMES and name not in ("body", "html", "article", "main")):
+    classes, ids = attributes.get("class", ""), attributes.get("id", "")
+    if inside == 3 or name in _TEXTS:
+        ids = ""
+    dropped, outer, main = _names(f"{classes} {ids}")
+    by_name = name not in ("body", "html", "article", "main") and not main and not (inside == 3 and name in _TEXTS)
+    if role in _DROPPED_ROLES or (dropped and by_name):
         return -1
-    if inside == 0 and (name in _OUTER or role in _OUTER or names & _OUTER) and name not in ("body", "html"):
+    if inside == 0 and (name in _OUTER or role in _OUTER or (outer and not main)) and name not in ("body", "html"):
         return -1
-    if name == "article" and "comment" not in names or role == "article":
+    if name == "article" and "comment" not in classes.split() or role == "article":
         return 3
     if name == "main" or role == "main":
         return max(inside, 2)
-    if names & _MAIN_NAMES and name not in ("body", "html"):
+    if main and name not in ("body", "html"):
         return max(inside, 1)
     return inside
 
@@ -333,6 +353,13 @@ class Extractor:
         self.bodies = bodies_of(wrapper)
         self.weights = [[self._weight(r, f) for r, f in zip(_ranks(node), facts)] for node, _, facts in wrapper]
         self.known: dict[tuple, list[list[int]]] = {}
+        chars = [0, 0]
+        for (_, _, facts), weights in zip(wrapper, self.weights):
+            for f, w in zip(facts, weights):
+                if w in (0, 1):
+                    chars[w] += f[1]
+        #: Least rank of the slots that are taken beside named ones.
+        self.least = 1 if chars[1] >= chars[0] else 0
 
     @staticmethod
     def _weight(rank: int, facts: list[int]) -> int:
@@ -356,7 +383,8 @@ class Extractor:
                 for k in group:
                     weight[k] = w
         best = max(0, *weight) if weight else 0
-        return " ".join(text for (text, _), w in zip(slots, weight) if w == best)
+        best = min(best, self.least) if best == 1 else best
+        return " ".join(text for (text, _), w in zip(slots, weight) if w >= best)
 
 
 def extract(pages: DataFrame, name: str = "text") -> DataFrame:
