@@ -106,6 +106,34 @@ def test_pages(spark):
     assert html_text.report(pages.where("1 = 0")).count() == 0
 
 
+def test_a_hot_host_is_aligned_in_parts_that_do_not_grow(spark, monkeypatch):
+    aligned = html_text._aligned
+    monkeypatch.setattr(html_text, "FAN", 4)
+    body = lambda k: "".join(f"<{t}>{t}{k}</{t}>" for j, t in enumerate(["h1", "p", "pre", "h2", "ul", "h3", "ol"]) if k >> j & 1)
+    rows = [(f"http://hot/{k}", f"<div>{body(k)}</div>") for k in range(1, 128)] + [("http://cold/1", "<p>x</p>"), (None, None)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    calls, large = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(group):
+        calls.add(1)
+        if len(group) > 12:
+            large.add(1)
+        return aligned(group)
+
+    monkeypatch.setattr(html_text, "_aligned", counted)
+    found = {r.host: r.wrapper for r in html_text.wrappers(pages).collect()}
+    assert sorted(found) == ["", "cold", "hot"] and calls.value > 40 and large.value == 0
+    assert sum(f[0] for node, _, slots in html_text.load(found["hot"]) for f in slots) > 0
+
+
+def test_a_page_without_marks_beside_marked_ones(spark):
+    marked = [(k, f"http://a/{k}", f"<div>Same</div><article><p>Text {k}</p></article>") for k in range(4)]
+    plain = [(k, f"http://a/{k}", f"<div>Same</div><div><p>Plain {k}</p></div>") for k in range(10, 13)]
+    pages = spark.createDataFrame(marked + plain, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_text.report(pages).collect()}
+    assert [found[k] for k in (0, 3, 10, 12)] == ["Text 0", "Text 3", "Plain 10", "Plain 12"]
+
+
 def test_given_pages_against_the_article_element(spark):
     import html
     import re

@@ -20,8 +20,9 @@ else the other slots count too, unless they are the same on all pages of the hos
 or consist of links.
 
 Pages of a host are first folded into their different streams in the task that
-reads them, then aligned in ``SALTS`` parts of the host, and those parts with
-each other, so a host with most of the pages is not the work of one task.
+reads them, then aligned in a tree: parts of about ``FAN`` streams, then parts of
+the results, until a host has one wrapper, so a host with most of the pages is not
+the work of one task, however many streams it has.
 
 Edge cases: null, empty and text-free pages have an empty text; broken markup is
 read as far as it goes, without closing tags where need be; a page without a
@@ -46,8 +47,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.rows import quoted, with_arrow_column
 from tidemark.session import cut
 
-#: Parts into which the different streams of a host are dealt before they meet.
-SALTS = 16
+#: Streams of a host that are aligned in one part, on the average.
+FAN = 32
 
 #: Longest group, in tokens, that is looked for next to itself.
 PERIOD = 24
@@ -301,10 +302,10 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             entries = of_page(page or "")
             _gather(seen, (host, *[e[0] for e in entries]), entries)
-        salts = [zlib.crc32(repr(key).encode()) % SALTS for key in seen]
+        marks = [zlib.crc32(repr(key).encode()) for key in seen]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0] for key in seen], pa.string()), pa.array(salts, pa.int32()), pa.array(map(json.dumps, seen.values()), pa.string())],
-            names=["host", "salt", "wrapper"],
+            [pa.array([key[0] for key in seen], pa.string()), pa.array(marks, pa.int64()), pa.array(map(json.dumps, seen.values()), pa.string())],
+            names=["host", "mark", "wrapper"],
         )
 
 
@@ -328,11 +329,18 @@ def host_of(url: str) -> Column:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """``host, wrapper``: the wrapper of each host's pages."""
-    shape = "host string, wrapper string"
     slim = pages.select(host_of("url").alias("host"), F.col("html").cast("string").alias("html"))
-    streams = slim.mapInArrow(_streams, "host string, salt int, wrapper string")
-    partial = streams.groupBy("host", "salt").applyInPandas(lambda rows: _aligned(rows), shape)
-    return partial.groupBy("host").applyInPandas(lambda rows: _aligned(rows), shape)
+    rows = cut(slim.mapInArrow(_streams, "host string, mark long, wrapper string"))
+    while True:
+        # a stream that several tasks have read has one mark, so its rows stay together
+        counts = rows.groupBy("host").agg(F.count_distinct("mark").alias("n"))
+        parts = cut(counts.select("host", F.ceil(F.col("n") / FAN).alias("parts")))
+        most = parts.agg(F.max("parts")).first()[0] or 1
+        dealt = rows.join(parts, "host").select("host", F.expr("pmod(mark, parts)").alias("mark"), "wrapper")
+        aligned = dealt.groupBy("host", "mark").applyInPandas(lambda key, group: _aligned(group).assign(mark=key[1]), "host string, mark long, wrapper string")
+        if most == 1:
+            return aligned.select("host", "wrapper")
+        rows = cut(aligned)
 
 
 # --- extraction ------------------------------------------------------------
