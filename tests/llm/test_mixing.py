@@ -45,6 +45,13 @@ def test_the_fit_is_the_best_there_is():
         assert best - lengths.max() < int((bound * lengths).sum()) <= best and (bound <= counts).all()
 
 
+def test_long_documents_are_fitted_exactly():
+    lengths, counts = np.array([15_000, 20_001]), np.array([2, 1])
+    assert mixing.fit(lengths, counts, 30_000).tolist() == [2, 0]
+    lengths, counts = np.array([70_000, 90_000, 1_000_001]), np.array([9, 9, 1])
+    assert int((mixing.fit(lengths, counts, 1_000_000) * lengths).sum()) == 1_000_000
+
+
 def test_mix_of_the_given_documents(spark, documents):
     found = mixing.report(documents).cache()
     assert found.count() == documents.count()

@@ -3,11 +3,13 @@
 A source's target is a number of words. Whole passes over the source fill as
 much of it as they can; the rest, less than one pass, is a subset-sum problem
 over the source's document lengths. Its state is the count of documents by
-exact length, a table far smaller than the documents: every length first gives
-its share of all but a small budget, then the longest lengths that fit, and a
-bounded-knapsack dynamic program spends the budget that is left. The result says
-how many documents of each length get one more pass; which ones, a seeded hash
-of the document decides.
+exact length, a table far smaller than the documents. A bounded-knapsack dynamic
+program spends the whole budget where its table fits in ``PROGRAM_BITS``, which
+is the best there is. Elsewhere every length first gives its share of all but the
+program's budget, then the longest lengths that fit, and the program spends what
+is left; that can miss the best by less than the longest document. The result
+says how many documents of each length get one more pass; which ones, a seeded
+hash of the document decides.
 
 Edge cases: a null source is a source of its own, after all others; null and
 empty texts have size 0 and are never taken; a source of size 0 has target 0;
@@ -30,9 +32,12 @@ WEIGHTS = (3.0, 1.0, 2.0)
 #: Hash slices of the documents of one source and length; a hot length is ranked slice by slice.
 SLICES = 256
 
-#: Largest budget, in words, left to the dynamic program.
+#: Budget, in words, left to the dynamic program at least.
 PROGRAM_WORDS = 1 << 14
 
+#: Size of the program's table, in bits, up to which it takes more.
+PROGRAM_BITS = 1 << 30
+
 
 def word_count(text: Column) -> Column:
     """Number of words, the runs of anything but space and the controls 9 to 13; null has none."""
@@ -70,6 +75,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, program_words: int
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
+    steps = sum(int(n).bit_length() for n in counts)
+    program_words = max(program_words, PROGRAM_BITS // max(steps, 1))
     first = max(budget - program_words, 0)  # the rest is left to the program, so that it has a choice
     taken = (counts.astype(object) * first // total).astype(np.int64)
     left = budget - int((lengths * taken).sum())
