@@ -19,6 +19,7 @@ COLUMNS = {
     "op8": ["query_id", "rank", "vec_id", "score"],
     "op9": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op10": ["doc_id", "held_out", "score", "predicted"],
+    "op13": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
 }
 
 
@@ -28,7 +29,7 @@ def con():
 
 
 def test_one_query_for_each_operator():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in (*range(1, 11), 13)]
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

