@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import backoff, conversation_trie, decontaminate, html_text, jaccard_join, mixing, oracle, quality_rules, sharding, suffix_dedup, token_counts, topk, toxicity
+from tidemark.llm import backoff, conversation_trie, decontaminate, html_text, jaccard_join, mixing, oracle, quality_rules, sharding, suffix_dedup, token_alignment, token_counts, topk, toxicity
 from tidemark.llm.rows import ship
 
 
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_topk": _over(topk.report, "embeddings"),
         "op9_sharding": _over(sharding.report, "documents"),
         "op10_toxicity": _over(toxicity.report, "documents", "labels"),
+        "op11_token_alignment": _over(token_alignment.report, "documents"),
         "op12_quality_rules": _over(quality_rules.report, "documents", "labels"),
         "op13_conversation_trie": _over(conversation_trie.report, "conversations"),
     }
