@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -52,6 +53,38 @@ def test_long_documents_are_fitted_exactly():
     assert int((mixing.fit(lengths, counts, 1_000_000) * lengths).sum()) == 1_000_000
 
 
+def test_long_lengths_beyond_the_table_are_fitted_exactly():
+    lengths = np.array([1, 2, 3, 4, 1_000_000, 1_000_002, 1_000_004, 1_000_006])
+    counts = np.array([3, 3, 3, 3, 900, 900, 900, 900])
+    taken = mixing.fit(lengths, counts, 1_692_005_090)
+    assert (taken >= 0).all() and (taken <= counts).all()
+    assert int((taken * lengths).sum()) == 1_692_005_090
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_shares_leave_the_program_its_table(seed):
+    """Whatever the lengths, the miss is under the longest document, and none is taken twice."""
+    rng = np.random.default_rng(seed)
+    lengths = np.unique(rng.integers(1, 10 ** int(rng.integers(1, 6)), 40))
+    counts = rng.integers(1, 300, len(lengths))
+    total = int((lengths * counts).sum())
+    budget = int(rng.integers(0, total))
+    taken = mixing.fit(lengths, counts, budget, program_words=int(rng.integers(1, 5000)))
+    assert (taken >= 0).all() and (taken <= counts).all()
+    assert budget - int(lengths.max()) < int((taken * lengths).sum()) <= budget
+
+
+def test_the_table_is_all_the_program_holds():
+    """Even lengths never make an odd budget, so the program runs to its end."""
+    lengths, counts = np.arange(2, 1200, 2), np.full(599, 5000)
+    tracemalloc.start()
+    taken = mixing.fit(lengths, counts, 900_000_001)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert int((taken * lengths).sum()) == 900_000_000
+    assert peak < 16 << 20
+
+
 def test_mix_of_the_given_documents(spark, documents):
     found = mixing.report(documents).cache()
     assert found.count() == documents.count()

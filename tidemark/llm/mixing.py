@@ -4,10 +4,12 @@ A source's target is a number of words. Whole passes over the source fill as
 much of it as they can; the rest, less than one pass, is a subset-sum problem
 over the source's document lengths. Its state is the count of documents by
 exact length, a table far smaller than the documents. A bounded-knapsack dynamic
-program spends the whole budget where its table fits in ``PROGRAM_BITS``, which
-is the best there is. Elsewhere every length first gives its share of all but the
-program's budget, then the longest lengths that fit, and the program spends what
-is left; that can miss the best by less than the longest document. The result
+program over at most ``PROGRAM_WORDS`` words of budget (8 MB) picks the subset. A
+smaller budget is its alone, and the subset is the best there is. Of a larger one
+every length first gives its share, all but the table's, so the program
+still chooses among documents of every length; it misses the best only where the
+lengths left cannot make up a sum that others could, and by less than the longest
+document. The result
 says how many documents of each length get one more pass; which ones, a seeded
 hash of the document decides.
 
@@ -21,7 +23,7 @@ only their number matters. Other columns pass through :func:`mix`.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.rows import all_columns
@@ -32,11 +34,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 #: Hash slices of the documents of one source and length; a hot length is ranked slice by slice.
 SLICES = 256
 
-#: Budget, in words, left to the dynamic program at least.
-PROGRAM_WORDS = 1 << 14
-
-#: Size of the program's table, in bits, up to which it takes more.
-PROGRAM_BITS = 1 << 30
+#: Words of budget that the dynamic program's table spans: two bytes each.
+PROGRAM_WORDS = 1 << 22
 
 
 def word_count(text: Column) -> Column:
@@ -71,61 +70,84 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, program_words: int = PROGRAM_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near below ``budget`` as can be."""
+    """How many documents of each length to take so that their words come as near below ``budget`` as can be.
+
+    Beyond the table every length gives its share of all but ``program_words`` of
+    the budget; shares are rounded along the lengths, so that what is left for
+    the program differs from ``program_words`` by less than the longest document,
+    and documents of all lengths are left to choose from.
+    """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    steps = sum(int(n).bit_length() for n in counts)
-    program_words = max(program_words, PROGRAM_BITS // max(steps, 1))
-    first = max(budget - program_words, 0)  # the rest is left to the program, so that it has a choice
-    taken = (counts.astype(object) * first // total).astype(np.int64)
-    left = budget - int((lengths * taken).sum())
-    for k in np.argsort(-lengths, kind="stable"):
-        if left <= program_words:
-            break
-        more = min(int(counts[k] - taken[k]), left // int(lengths[k]))
-        taken[k] += more
-        left -= more * int(lengths[k])
-    return taken + _knapsack(lengths, counts - taken, left)
+    taken = np.zeros_like(counts)
+    first = budget - max(program_words, int(lengths.max()))
+    if budget > program_words and first > 0:
+        order = np.argsort(lengths, kind="stable")
+        due = np.cumsum(counts[order].astype(object)) * first // total
+        taken[order] = np.minimum(np.diff(due, prepend=0).astype(np.int64), counts[order])
+        left = budget - int((lengths * taken).sum())
+        for k in reversed(order):
+            over = left - program_words
+            if over <= 0:
+                break
+            more = min(int(counts[k] - taken[k]), -(-over // int(lengths[k])), left // int(lengths[k]))
+            taken[k] += more
+            left -= more * int(lengths[k])
+        return taken + _knapsack(lengths, counts - taken, min(left, program_words))
+    return _knapsack(lengths, counts, min(budget, program_words))
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack: the reachable sums are the set bits of a whole number."""
-    reach, mask = 1, (1 << budget + 1) - 1
-    steps: list[tuple[int, int, int]] = []
+    """Bounded knapsack: the reachable sums are the set bits of a whole number.
+
+    Copies of a length come in batches of 1, 2, 4, ... Each sum remembers the
+    batch by which it was first reached; without that batch it is a sum that was
+    reached before, so one table leads back to a choice of batches.
+    """
+    batches: list[tuple[int, int]] = []
     for k in np.argsort(lengths, kind="stable"):
-        length, count, batch = int(lengths[k]), int(counts[k]), 1
-        count = min(count, budget // length)
+        count, batch = min(int(counts[k]), budget // int(lengths[k])), 1
         while count:
             batch = min(batch, count)
-            steps.append((int(k), batch, reach))
-            reach |= reach << batch * length & mask
+            batches.append((int(k), batch))
             count -= batch
             batch *= 2
+    by = np.zeros(budget + 1, np.uint16 if len(batches) < 1 << 16 else np.uint32)
+    reach, mask, n_bytes = 1, (1 << budget + 1) - 1, budget // 8 + 1
+    for step, (k, batch) in enumerate(batches):
+        new = reach << batch * int(lengths[k]) & mask & ~reach
+        if not new:
+            continue
+        packed = np.frombuffer(new.to_bytes(n_bytes, "little"), np.uint8)
+        filled = np.flatnonzero(packed)
+        at, bit = np.nonzero(np.unpackbits(packed[filled, None], axis=1, bitorder="little"))
+        by[filled[at] * 8 + bit] = step
+        reach |= new
         if reach >> budget & 1:
             break
     out = np.zeros_like(counts)
     best = reach.bit_length() - 1
-    for k, batch, before in reversed(steps):
-        if not before >> best & 1:
-            out[k] += batch
-            best -= batch * int(lengths[k])
+    while best:
+        k, batch = batches[by[best]]
+        out[k] += batch
+        best -= batch * int(lengths[k])
     return out
 
 
 def _plan(histogram: DataFrame, goals: DataFrame) -> DataFrame:
     """``source, size, passes, extra``: whole passes, and documents of this length with one pass more."""
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("size", ignore_index=True)
-        size, target = int(rows["source_size"][0]), float(rows["target"][0])
+    def one(rows: pa.Table) -> pa.Table:
+        size, target = rows["source_size"][0].as_py(), rows["target"][0].as_py()
         passes = int(target // size)
-        extra = fit(rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), int(target - passes * size))
-        return pd.DataFrame({"source": rows["source"], "size": rows["size"], "passes": passes, "extra": extra})
+        lengths, counts = (rows[c].to_numpy().astype(np.int64) for c in ("size", "n"))
+        extra = fit(lengths, counts, int(target - passes * size))
+        return pa.table({"source": rows["source"], "size": rows["size"], "passes": pa.array(np.full(len(lengths), passes)), "extra": pa.array(extra)})
 
     known = histogram.where("size > 0").groupBy("source", "size").agg(F.sum("n").alias("n"))
     joined = known.alias("h").join(goals.alias("g"), F.expr("h.source <=> g.source")).select("h.*", "source_size", "target")
-    return joined.groupBy("source").applyInPandas(one, "source string, size long, passes long, extra long")
+    return joined.groupBy("source").applyInArrow(one, "source string, size long, passes long, extra long")
 
 
 def _keyed(docs: DataFrame, seed: int, slices: int) -> DataFrame:
