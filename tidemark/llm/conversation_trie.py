@@ -13,7 +13,7 @@ Containers left over are dealt to tasks, sorted, and swept once: neighbours'
 common prefixes say where nodes begin. Heads are sums over the containers and
 the heads below them.
 
-Bounds: a task holds one container (``container_turns`` turns, or one
+Bounds: a task holds containers of about ``SWEEP_TURNS`` turns (or one
 conversation if that is longer) at about 150 bytes a turn; one conversation is
 one row of 20 bytes a turn; the ids of conversations that end at a node travel
 in blocks and pass through a running SHA-256, so that no task holds them all.
@@ -38,8 +38,8 @@ from tidemark.functions.joins import group_join
 from tidemark.llm.arrays import flat, ranges
 from tidemark.session import cut
 
-#: Turns that a container may hold before it bursts.
-CONTAINER_TURNS = 4096
+#: Turns that a container may hold before it bursts, and turns of containers that are swept together.
+CONTAINER_TURNS, SWEEP_TURNS = 1024, 1 << 16
 #: Turns that one round of bursts looks ahead: at first, and at most.
 AHEAD, MOST_AHEAD = 2, 64
 #: Ids of conversations share a row of members by blocks of two to this many.
@@ -290,7 +290,7 @@ def nodes(sequences: DataFrame, container_turns: int = CONTAINER_TURNS) -> DataF
     placed = burst(cut(folded(sequences)), container_turns)
     dealt = placed.where("turns > at").withColumn("container", _head("ids", F.col("at") + 1))
     dealt = dealt.repartition("container").sortWithinPartitions("container", "ids")
-    below = cut(dealt.mapInArrow(lambda batches: _swept(batches, container_turns), _NODE))
+    below = cut(dealt.mapInArrow(lambda batches: _swept(batches, SWEEP_TURNS), _NODE))
 
     # every container and every sequence that ends at a head counts towards all heads on its way
     tops = below.where("path is not null")
