@@ -63,14 +63,6 @@ def tile(k: int, row_no: str = "row_no", total: str = "group_rows") -> Column:
     )
 
 
-def tile_ends(df: DataFrame, k: int, order: Sequence[Column], group: Sequence[str]) -> DataFrame:
-    """Only the last row of each tile but the k-th: at most k-1 rows per group."""
-    numbered = number_rows(df, order, group).withColumn("tile", tile(k))
-    n, t = F.col("group_rows"), F.col("tile")
-    last = t * F.floor(n / k) + F.least(t, n % k)
-    return numbered.where((F.col("row_no") == last) & (t < k)).drop("row_no")
-
-
 def running_totals(df: DataFrame, order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
     """Add ``before_<c>``: the sum of ``c`` over all earlier rows, for each c in ``sums``."""
     placed = _sliced(df, order)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import month_number, percent, round_away, rows
-from tidemark.functions.ranking import number_rows, tile, tile_ends
+from tidemark.functions.selection import tile_ends
 from tidemark.operators.fact import DELIVERED, delivered
 from tidemark.session import cut
 
@@ -66,27 +66,26 @@ def _segment() -> Column:
 def score_tiles(df: DataFrame, keys: dict[str, tuple[str, float]], entity: str, k: int = 4) -> DataFrame:
     """Add ``<name>_score``, the NTILE(k) of sign * column with ``entity`` as tie-break, for every key.
 
-    All keys are ranked in one distributed sort of (key name, value, entity).
-    Only the k-1 tile ends per key come back, and scoring a row is then a
-    comparison with those few literals: no join and no window over the entities.
-    ``df`` is read twice, so pass a table that is already computed.
+    The k-1 tile ends of all keys are selected by counting, and scoring a row is
+    then a comparison with those few literals: no sort, no join and no window over
+    the entities. ``df`` is read several times, so pass a table that is already
+    computed.
     """
     value = [
         F.struct(F.lit(name).alias("key"), (F.col(c).cast("double") * sign).alias("value"))
         for name, (c, sign) in keys.items()
     ]
     long = df.select(entity, F.explode(F.array(*value)).alias("kv")).select("kv.key", "kv.value", entity)
-    order = [F.col("value").asc_nulls_first(), F.col(entity).asc()]
     # at most (k - 1) * len(keys) rows
-    ends = tile_ends(long, k, order, ["key"]).collect()
+    ends = tile_ends(long, k, ["key"], "value", entity)
     kind = df.schema[entity].dataType
     scores = {}
     for name, (c, sign) in keys.items():
         v, e = F.col(c).cast("double") * sign, F.col(entity)
         beyond = F.lit(1)
-        for end in (row for row in ends if row["key"] == name):
-            edge, tie = F.lit(end["value"]).cast("double"), F.lit(end[entity]).cast(kind)
-            if end["value"] is None:  # NULLs sort first
+        for last_value, last_entity in (end[2:] for end in ends if end[0] == name):
+            edge, tie = F.lit(last_value).cast("double"), F.lit(last_entity).cast(kind)
+            if last_value is None:  # NULLs sort first
                 after = v.isNotNull() | (e > tie)
             else:
                 after = F.coalesce((v > edge) | ((v == edge) & (e > tie)), F.lit(False))
@@ -124,16 +123,23 @@ def rfm_segment_counts(rfm: DataFrame) -> DataFrame:
 def pareto_customers(fact: DataFrame, k: int = 10) -> DataFrame:
     """Customers in k equal groups from the highest revenue down, with the cumulative share.
 
-    The running total at its highest point inside a tile needs no running sum
+    A customer's group follows from the k-1 ends of the groups, so nothing is
+    sorted. The running total at its highest point inside a tile needs no running sum
     over customers: revenue falls along the order, so it is the total of the
     earlier tiles plus the non-negative revenues of this one (or, without any,
     its first revenue).
     """
-    per_customer = delivered(fact).groupBy("customer_id").agg(F.sum("revenue").alias("revenue"))
-    ranked = number_rows(per_customer, [F.desc("revenue"), F.asc("customer_id")])
-    r = F.col("revenue")
+    per_customer = cut(delivered(fact).groupBy("customer_id").agg(F.sum("revenue").alias("revenue")))
+    down, kind = per_customer.select("customer_id", (-F.col("revenue")).alias("down")), per_customer.schema["customer_id"].dataType
+    r, me = F.col("revenue"), F.col("customer_id")
+    decile = F.lit(1)
+    for _, last_down, last_customer in tile_ends(down, k, [], "down", "customer_id"):  # at most k - 1 rows
+        tie = F.lit(last_customer).cast(kind)
+        # a revenue is NULL only where all of a customer's are, which cleaning rules out; it would rank first
+        after = r.isNotNull() | (me > tie) if last_down is None else F.coalesce((r < -last_down) | ((r == -last_down) & (me > tie)), F.lit(False))
+        decile = decile + after.cast("int")
     tiles = (
-        ranked.groupBy(tile(k).alias("decile"))
+        per_customer.groupBy(decile.alias("decile"))
         .agg(
             rows().alias("customers"),
             F.sum(r).alias("revenue"),

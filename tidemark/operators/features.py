@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.exprs import ratio, rows
-from tidemark.functions.ranking import number_rows
+from tidemark.functions.selection import rows_at
 
 ID, LABEL = "employee_id", "attrition"
 SPLIT_SEED = 42
@@ -137,22 +137,22 @@ def split_rule(
 ) -> Split:
     """The first rows of each class in shuffled order are for testing.
 
-    Only the last test row of each class comes back from the distributed
-    ranking, so the split itself is a comparison, whatever the class sizes are.
-    ``df`` is read here and again by the caller: pass a computed table.
+    Only the last test row of each class is selected, by counting, so the split
+    itself is a comparison, whatever the class sizes are. ``df`` is read here
+    several times and again by the caller: pass a computed table.
     """
     classes = {r[label]: r["n"] for r in df.groupBy(label).agg(rows().alias("n")).collect()}
     held = held_out(classes, share)
+    shuffled = df.select(label, split_order(key, seed).alias("draw"), key)
     wanted = F.lit(0)
     for value, size in held.items():
         wanted = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(size)).otherwise(wanted)
-    shuffled = df.select(label, split_order(key, seed).alias("draw"), key)
-    ends = number_rows(shuffled, [F.asc("draw"), F.asc(key)], [label]).where(F.col("row_no") == wanted).collect()
+    ends = rows_at(shuffled, F.array(wanted.cast("long")), [label], "draw", key)
     draw, me, kind = split_order(key, seed), F.col(key), df.schema[key].dataType
     test = F.lit(False)
-    for end in ends:  # one row per class
-        mine = F.col(label).eqNullSafe(F.lit(end[label]))
-        upto = (draw < end["draw"]) | ((draw == end["draw"]) & (me <= F.lit(end[key]).cast(kind)))
+    for value, _, last_draw, last in ends:  # one row per class
+        mine = F.col(label).eqNullSafe(F.lit(value))
+        upto = (draw < last_draw) | ((draw == last_draw) & (me <= F.lit(last).cast(kind)))
         test = test | (mine & upto)
     return Split(test, {c: n - held[c] for c, n in classes.items()})
 

@@ -7,11 +7,13 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.exprs import percent, ratio, round_away, rows
 from tidemark.functions.joins import group_join
 from tidemark.functions.medians import group_median
-from tidemark.functions.ranking import number_rows, tile
+from tidemark.functions.selection import tile_ends
+from tidemark.session import cut
 
 # The label's positive answer, and the names of bands and groups.
 LEFT = "Yes"
@@ -104,12 +106,18 @@ def attrition_by_age_group(employees: DataFrame) -> DataFrame:
 
 
 def attrition_by_income_quartile(employees: DataFrame, k: int = 4) -> DataFrame:
-    """Pay tiles within each department; a department of any size is sorted by many tasks."""
-    slim = employees.select("department", "monthly_income", "employee_id", "attrition")
-    order = [F.asc_nulls_first("monthly_income"), F.asc("employee_id")]
+    """Pay tiles within each department, which is not sorted: rows are compared with the k-1 ends of its tiles."""
+    slim = cut(employees.select("department", "monthly_income", "employee_id", "attrition"))
+    ends: dict = {}
+    for department, _, pay, last in tile_ends(slim, k, ["department"], "monthly_income", "employee_id"):
+        ends.setdefault(department, []).append((pay, last))
+    me = F.struct("monthly_income", "employee_id")
+    kind = T.StructType([T.StructField("department", slim.schema["department"].dataType), T.StructField("ends", T.ArrayType(slim.select(me).schema[0].dataType))])
+    known = slim.sparkSession.createDataFrame(list(ends.items()), kind)
+    passed = F.filter(F.coalesce("ends", F.array()), lambda end: me > end)  # NULL before all, as in the order
     return (
-        number_rows(slim, order, ["department"])
-        .groupBy(tile(k).alias("pay_quartile"))
+        group_join(slim, known, "department")
+        .groupBy((F.size(passed) + 1).alias("pay_quartile"))
         .agg(
             rows().alias("employees"),
             round_away(_mean("monthly_income")).alias("avg_income"),
