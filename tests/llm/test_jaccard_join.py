@@ -14,9 +14,9 @@ def shingles(text, n=3):
     return {tuple(words[k : k + n]) for k in range(max(len(words) - n + 1, 1))} if words else set()
 
 
-def brute(texts, percent=90):
+def brute(texts, percent=90, n=3):
     """(set size, least linked position) of each text, all pairs compared."""
-    sets = list(map(shingles, texts))
+    sets = [shingles(t, n) for t in texts]
     parent = list(range(len(sets)))
 
     def find(x):
@@ -61,6 +61,17 @@ def test_against_brute_force(spark, sizes):
     assert [tuple(r)[1:] for r in found.orderBy("doc_id").collect()] == brute(texts)
 
 
+def test_the_pipeline_stage_against_brute_force(spark):
+    """Five words and 0.8: one document of each class stays, as all pairs compared say."""
+    texts = variants(7, (7, 12, 24, 40, 90, 250))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = brute(texts, 80, 5)
+    found = jaccard_join.report(docs, n=5, percent=80)
+    assert [tuple(r)[1:] for r in found.orderBy("doc_id").collect()] == wanted
+    kept = {r.doc_id for r in jaccard_join.keep_one(docs, n=5, percent=80).collect()}
+    assert kept == {k for k, (size, least) in enumerate(wanted) if not size or least == k}
+
+
 def test_similar_sets_always_share_a_signature():
     rng = np.random.default_rng(0)
     scheme = jaccard_join.Scheme()

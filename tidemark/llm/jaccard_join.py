@@ -400,9 +400,9 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int =
     )
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
-    found = cut(classes(docs))
+    found = cut(classes(docs, n, percent))
     least = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "component", "left").select(
         "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
