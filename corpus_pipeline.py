@@ -2,6 +2,11 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns the documents it keeps,
 in the columns it was given; the last adds each document's shard and slot.
+
+Documents without a text or without words are neither toxic, near duplicates nor
+contaminated; the mix takes none of them, as it takes words. Rows of a null
+``doc_id`` or source are documents like others. Repeated rows are one class of
+near duplicates. Columns of any other name pass through. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -14,6 +19,9 @@ from tidemark.llm import decontaminate, jaccard_join, mixing, sharding, toxicity
 from tidemark.llm.rows import ship
 from tidemark.session import cut
 
+#: Words of a shingle and similarity, in percent, from which documents are near duplicates.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 #: No SQL: the stages learn, search and select by hash.
 ORACLE_SQL = None
 
@@ -29,9 +37,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near equal word n-grams, one stays."""
+    """Of documents linked by a similarity of ``NEAR_PERCENT`` over shingles of ``NEAR_WORDS`` words, one stays."""
     ship(spark)
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
