@@ -34,8 +34,10 @@ def test_each_decision_takes_effect(spark, steps):
     labels, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
     toxic = toxicity.report(start, labels).where("predicted = 1")
     assert clean.count() == start.count() - toxic.count() and clean.join(toxic, "doc_id").count() == 0
-    assert jaccard_join.report(clean).select("component_id").distinct().count() == single.count()
-    assert jaccard_join.report(single).where("component_id <> doc_id").count() == 0
+    near = {"n": corpus_pipeline.NEAR_WORDS, "percent": corpus_pipeline.NEAR_PERCENT}
+    assert near == {"n": 5, "percent": 80}
+    assert jaccard_join.report(clean, **near).select("component_id").distinct().count() == single.count()
+    assert jaccard_join.report(single, **near).where("component_id <> doc_id").count() == 0
     assert decontaminate.report(safe, benchmark).where("contaminated").count() == 0
     untouched = decontaminate.report(single, benchmark).where("not contaminated").select("doc_id")
     assert single.join(untouched, "doc_id").select("doc_id", "text").exceptAll(safe.select("doc_id", "text")).isEmpty()
@@ -47,3 +49,18 @@ def test_each_decision_takes_effect(spark, steps):
 def test_run_is_the_stages_one_after_the_other(spark, steps):
     found = corpus_pipeline.run(spark, SF)
     assert sorted(map(str, found.collect())) == sorted(map(str, steps[5].collect()))
+
+
+def test_awkward_documents_pass_all_stages(spark, awkward, nothing, tmp_path):
+    """Nulls, empty and long texts, repeated rows, other columns, and no rows at all."""
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    for docs in (awkward.withColumnRenamed("size", "shard_"), nothing.withColumnRenamed("size", "shard_")):
+        there, found = docs.count(), docs
+        for _, stage in corpus_pipeline.STAGES:
+            found = cut(stage(spark, found, str(tmp_path)))
+        assert found.columns == [*docs.columns, "shard", "slot"]
+        assert (found.count() > 0) == (there > 0)
+        assert found.where("text is null or trim(text) = ''").isEmpty()
+        ids = [r.doc_id for r in found.collect()]
+        assert all(ids.count(x) <= 2 for x in ids) and len({6, 7} & set(ids)) <= 1
