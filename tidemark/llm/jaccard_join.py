@@ -186,6 +186,9 @@ def set_ids(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 # --- the join --------------------------------------------------------------
 
+#: Low bits of a signature that don't travel. Signatures that only differ there meet for nothing, as their sets are compared.
+KEY_SHIFT = np.uint64(24)
+
 #: Classes of a sketch: how many grams of a set fall into each.
 SKETCH = 256
 
@@ -220,14 +223,15 @@ def _index(docs: DataFrame, scheme: Scheme, n: int, buckets: int) -> DataFrame:
                 keys, sets = scheme.signatures(grams, first)
                 pairs = np.unique(np.stack([keys, ids[sets]], 1), axis=0) if len(keys) else np.zeros((0, 2), np.uint64)
                 bucket = (pairs[:, 0] % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
+                order = np.argsort(bucket, kind="stable")  # stable: keys stay sorted in a bucket
                 edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
                 parts = [order[a:b] for a, b in zip(edges, [*edges[1:], len(order)])]
+                packed = [_packed_pairs(pairs[p, 0] >> KEY_SHIFT, pairs[p, 1]) for p in parts]
                 yield _packed(
                     len(parts),
                     bucket=pa.array(bucket[order[edges]]),
-                    keys=pa.array([pairs[p, 0].tobytes() for p in parts], pa.binary()),
-                    ids=pa.array([pairs[p, 1].tobytes() for p in parts], pa.binary()),
+                    keys=pa.array([k for k, _ in packed], pa.binary()),
+                    ids=pa.array([i for _, i in packed], pa.binary()),
                 )
 
     text = F.col("text")
@@ -240,10 +244,33 @@ def _packed(rows: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[n] if n in columns else pa.nulls(rows, t) for n, t in zip(names, kinds)], names=names)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits, byte planes apart, compressed: the empty planes cost nothing."""
+    return pa.Codec("zstd").compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
+
+
+def _numbers(planes: bytes, n: int) -> np.ndarray:
+    found = np.frombuffer(pa.Codec("zstd").decompress(planes, 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(found.T).view(np.uint64).ravel()
+
+
+def _packed_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted signatures as gaps; sets as places in a list of the different ones, which comes first."""
+    different, place = np.unique(ids, return_inverse=True)
+    head = np.array([len(ids), len(different)], np.uint64).tobytes()
+    return _planes(np.diff(keys, prepend=np.uint64(0))), head + different.tobytes() + _planes(place.astype(np.uint64))
+
+
+def _unpacked_pairs(keys: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, n_different = np.frombuffer(ids, np.uint64, 2).tolist()
+    different = np.frombuffer(ids, np.uint64, n_different, 16)
+    return np.cumsum(_numbers(keys, n)), different[_numbers(ids[16 + 8 * n_different :], n).astype(np.int64)]
+
+
 def _shared(table: pa.Table) -> pa.Table:
     """The groups of sets that share a signature of this bucket, each with a hash of its members."""
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
-    ids = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("ids").to_pylist()])
+    found = [_unpacked_pairs(k, i) for k, i in zip(table.column("keys").to_pylist(), table.column("ids").to_pylist())]
+    keys, ids = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
     new = np.ones(len(keys), bool)
