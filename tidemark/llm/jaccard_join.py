@@ -52,7 +52,7 @@ from tidemark.llm.rows import all_columns
 from tidemark.session import cut
 
 #: Ratio of the largest to the smallest size in a band.
-BAND = 1.2
+BAND = 2.0
 
 #: Ways to cut the universe that are tried on a set whose segments are too thin.
 ROUNDS = 16
@@ -202,24 +202,28 @@ def _sketches(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.minimum(counts, 255).astype(np.uint8).reshape(-1, SKETCH)
 
 
-def _index(docs: DataFrame, scheme: Scheme, n: int, buckets: int) -> DataFrame:
-    """Rows of two kinds: each document with its set's id, size and sketch; and signatures packed by bucket."""
+def _index(docs: DataFrame, scheme: Scheme, n: int, buckets: int | None = None) -> DataFrame:
+    """Each document with its set's id, size and sketch; or, with ``buckets``, the signatures packed by bucket.
+
+    These are two passes, so that signatures, the larger part, are only shuffled
+    and never written beside that.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, stop, data, offsets in arrays.pieces(batch.column(2)):
                 grams, first = gram_sets(data, offsets, n)
                 ids = set_ids(grams, first)
-                size = np.diff(first)
-                sketches = _sketches(grams, first)
-                yield _packed(
-                    stop - row,
-                    doc_id=batch.column(0).slice(row, stop - row),
-                    h=batch.column(1).slice(row, stop - row),
-                    n=pa.array(size),
-                    id=pa.array(ids.view(np.int64)),
-                    sketch=pa.array([x.tobytes() for x in sketches], pa.binary()),
-                )
+                if buckets is None:
+                    yield _packed(
+                        stop - row,
+                        doc_id=batch.column(0).slice(row, stop - row),
+                        h=batch.column(1).slice(row, stop - row),
+                        n=pa.array(np.diff(first)),
+                        id=pa.array(ids.view(np.int64)),
+                        sketch=pa.array([x.tobytes() for x in _sketches(grams, first)], pa.binary()),
+                    )
+                    continue
                 keys, sets = scheme.signatures(grams, first)
                 pairs = np.unique(np.stack([keys, ids[sets]], 1), axis=0) if len(keys) else np.zeros((0, 2), np.uint64)
                 bucket = (pairs[:, 0] % np.uint64(buckets)).astype(np.int64)
@@ -392,9 +396,8 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int =
     scheme = Scheme(percent)
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, ceil(total / bucket_bytes))
-    index = cut(_index(docs, scheme, n, buckets))
-    rows = index.where("bucket is null").select("doc_id", "h", "n", "id", "sketch")
-    signatures = index.where("bucket is not null").select("bucket", "keys", "ids")
+    rows = cut(_index(docs, scheme, n).select("doc_id", "h", "n", "id", "sketch"))
+    signatures = _index(docs, scheme, n, buckets).select("bucket", "keys", "ids")
     groups = cut(
         signatures.groupBy("bucket").applyInArrow(_shared, "name long, members array<long>").dropDuplicates(["name"])
     )
