@@ -52,7 +52,7 @@ from tidemark.llm.rows import all_columns
 from tidemark.session import cut
 
 #: Ratio of the largest to the smallest size in a band.
-BAND = 2.0
+BAND = 1.2
 
 #: Ways to cut the universe that are tried on a set whose segments are too thin.
 ROUNDS = 16
@@ -407,11 +407,17 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int =
         .groupBy("id")
         .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("of"))
     )
-    sets = cut(_sets(docs, known.select("id", "of.doc_id", "of.h"), n))
     sketched = members.join(known.select("id", "n", "sketch"), "id")
 
     tried = cut(sketched.groupBy("name").applyInArrow(lambda t: _tree(t, percent), "a long, b long").distinct())
-    links = cut(_verify(tried, sets, percent))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Only sets of a pair that their sketches leave open are read again."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = known.join(asked, "id", "left_semi").select("id", "of.doc_id", "of.h")
+        return _verify(pairs, cut(_sets(docs, wanted, n)), percent)
+
+    links = cut(verified(tried))
     names = components(links)
 
     named = sketched.join(names.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -423,7 +429,7 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int =
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    links = cut(links.unionByName(_verify(cut(more), sets, percent)))
+    links = cut(links.unionByName(verified(cut(more))))
     names = components(links)
     return rows.join(names.withColumnRenamed("node", "id"), "id", "left").select(
         "doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).alias("component")
