@@ -154,14 +154,3 @@ def test_short_texts_are_one_gram():
     assert np.diff(first).tolist() == [1, 1, 1, 0, 0, 2]
     ids = jaccard_join.set_ids(grams, first)
     assert ids[0] == ids[2] != ids[1]
-
-
-@pytest.mark.parametrize("n", [1, 2, 700])
-def test_packed_signatures_are_a_round_trip(n):
-    rng = np.random.default_rng(n)
-    keys = np.sort(rng.integers(0, 1 << 40, n).astype(np.uint64))
-    ids = rng.integers(0, 1 << 63, max(n // 3, 1)).astype(np.uint64)[rng.integers(0, max(n // 3, 1), n)]
-    found = jaccard_join._unpacked_pairs(*jaccard_join._packed_pairs(keys, ids))
-    assert (found[0] == keys).all() and (found[1] == ids).all()
-    if n > 500:
-        assert sum(map(len, jaccard_join._packed_pairs(keys, ids))) < 11 * n
