@@ -23,7 +23,7 @@ def rows(seed, n=300, dim=8):
     return found + [(2000, [1.0, 2.0]), (2001, [0.5, 0.5]), (2050, []), (2051, [])]
 
 
-@pytest.mark.parametrize("settings", [{}, {"tile": 16, "fan_in": 2}, {"tile": 7, "k": 40}])
+@pytest.mark.parametrize("settings", [{}, {"tile": 16, "fan_in": 2}, {"tile": 7, "k": 40}, {"tile": 3, "group": 2, "fan_in": 3}])
 def test_against_brute_force(spark, settings):
     data = rows(1)
     vectors = spark.createDataFrame(data, "vec_id long, embedding array<float>")
@@ -45,3 +45,23 @@ def test_repeated_rows_and_no_rows(spark):
     found = topk.report(vectors).orderBy("rank").collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in found] == [(0, 1, 5), (0, 2, 5), (0, 3, 6)]
     assert topk.report(vectors.where("1 = 0")).count() == 0
+
+
+def test_products_are_dealt_over_a_grid_of_tasks(spark):
+    rows = spark.range(4097 * 20).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") % 7).cast("double")).alias("vector"))
+    asked = rows.where("vec_id % 50 = 0")
+    cells = topk.grid(asked, rows, topk.TILE, topk.GROUP)
+    per_task = cells.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("dim", "q_tile", "c_group").alias("cells"))
+    assert [r.cells for r in per_task.collect()] == [1] * 3
+    # 41 tiles of queries and 103 groups of candidates
+    fine = topk.grid(asked, rows, 40, 20, tasks=64)
+    per_task = fine.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("dim", "q_tile", "c_group").alias("cells"))
+    found = [r.cells for r in per_task.collect()]
+    assert len(found) == 64 and sum(found) == 41 * 103 and max(found) - min(found) <= 1
+
+
+def test_lengths_share_the_grid(spark):
+    data = [(i, [1.0 * (i % 5)] * (1 + i % 3)) for i in range(200)]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    found = topk.search(vectors, F.col("vec_id") % 50 == 0, tile=16, group=2)
+    assert {tuple(r) for r in found.collect()} == brute(data)

@@ -2,8 +2,13 @@
 
 Vectors are packed into tiles. Every tile of queries meets every tile of
 candidates once, in one matrix product; only the best ``k`` of each query leave
-it. The short lists are then merged up a tree: first among a few tiles, then
-among the groups of tiles.
+it. The products form a grid, whose cells (one tile of queries, ``group`` tiles
+of candidates) are dealt evenly over the tasks. The short lists are then merged
+up a tree: first among a few tiles, then among the groups of tiles.
+
+A task holds one tile of queries and one batch of candidate tiles. A tile of
+candidates travels once for each tile of queries, a tile of queries once for
+each cell.
 
 Scores are inner products of whole numbers, so they must be exact: a product
 whose sums stay below 2**53 is done in floating point, where each step is then
@@ -30,6 +35,12 @@ from tidemark.session import cut
 #: Vectors in a tile.
 TILE = 4096
 
+#: Tiles of candidates in a cell of the grid.
+GROUP = 8
+
+#: Tasks of the grid at most; beyond, a task does several cells one after the other.
+TASKS = 20_000
+
 #: Tiles of candidates whose lists are merged first.
 FAN_IN = 64
 
@@ -87,33 +98,61 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(~scores, axis=1, kind="stable")[:, :k]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, tile: int = TILE, fan_in: int = FAN_IN) -> DataFrame:
+def _counts(rows: DataFrame, size: int, name: str) -> DataFrame:
+    return rows.groupBy(F.size("vector").alias("dim")).agg(F.ceil(F.count("*") / size).alias(name))
+
+
+def grid(asked: DataFrame, rows: DataFrame, tile: int, group: int, tasks: int = TASKS) -> DataFrame:
+    """``dim, q_tile, c_group, c_tile, ids, values``: the cells of the grid, whole and in order in their partitions.
+
+    The tile of queries comes first in its cell, with ``c_tile`` -1.
+    """
+    # one row for each vector length
+    sizes = cut(_counts(asked, tile, "q_tiles").join(_counts(rows, tile * group, "c_groups"), "dim"))
+    cells = sizes.agg(F.sum(F.col("q_tiles") * F.col("c_groups"))).first()[0] or 1
+    tiles = ("dim", "q_tile", "c_group", "c_tile", "c_groups", "ids", "values")
+    own = _tiles(asked, tile, "q").join(F.broadcast(sizes), "dim").withColumns(
+        {"c_group": F.explode(F.sequence(F.lit(0).cast("long"), F.col("c_groups") - 1)), "c_tile": F.lit(-1).cast("long")}
+    )
+    other = _tiles(rows, tile, "c").join(F.broadcast(sizes), "dim").withColumns(
+        {"q_tile": F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_tiles") - 1)), "c_group": F.floor(F.col("c_tile") / group)}
+    )
+    place = F.hash("dim").cast("long") + F.col("q_tile") * F.col("c_groups") + F.col("c_group")
+    parts = min(cells, tasks)
+    return (
+        own.select(*tiles)
+        .union(other.select(*tiles))
+        .repartitionById(parts, F.pmod(place, F.lit(parts)).cast("int"))
+        .drop("c_groups")
+        .sortWithinPartitions("dim", "q_tile", "c_group", "c_tile")
+    )
+
+
+def search(
+    vectors: DataFrame, is_query: Column, k: int = 5, tile: int = TILE, fan_in: int = FAN_IN, group: int = GROUP
+) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best candidates of each query among all rows of ``vectors``."""
     rows = cut(
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), is_query.alias("is_query"))
         .where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
     )
-    asked = rows.where("is_query").groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    queries = _tiles(asked, tile, "q")
-    candidates = _tiles(rows.select("vec_id", "vector"), tile, "c")
-    # a copy of each candidate tile for each tile of queries of its length
-    per_dim = queries.groupBy("dim").agg(F.max("tiles").alias("q_tiles"))
-    pairs = (
-        candidates.join(F.broadcast(per_dim), "dim")
-        .withColumn("q_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_tiles") - 1)))
-        .select("dim", "q_tile", "c_tile", F.col("ids").alias("c_ids"), F.col("values").alias("c_values"))
-        .join(queries.select("dim", "q_tile", F.col("ids").alias("q_ids"), F.col("values").alias("q_values")), ["dim", "q_tile"])
-    )
+    asked = cut(rows.where("is_query").groupBy("vec_id").agg(F.min("vector").alias("vector")))
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = None
+        q = q_ids = np.empty(0)
         for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                q_ids, c_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
-                q = np.frombuffer(row["q_values"], np.float64).reshape(len(q_ids), dim)
-                order = np.argsort(c_ids, kind="stable")
-                c_ids = c_ids[order]
-                c = np.frombuffer(row["c_values"], np.float64).reshape(len(order), dim)[order]
+            names = zip(*(batch.column(n).to_pylist() for n in ("dim", "q_tile", "c_group", "c_tile")))
+            for at, (dim, q_tile, c_group, c_tile) in enumerate(names):
+                tile_ids = np.frombuffer(batch.column("ids")[at].as_buffer(), np.int64)
+                values = np.frombuffer(batch.column("values")[at].as_buffer(), np.float64).reshape(len(tile_ids), dim)
+                if c_tile < 0:
+                    cell, q_ids, q = (dim, q_tile, c_group), tile_ids.copy(), values.copy()
+                    continue
+                if cell != (dim, q_tile, c_group):  # no query was dealt to this tile
+                    continue
+                order = np.argsort(tile_ids, kind="stable")
+                c_ids, c = tile_ids[order], values[order]
                 for a in range(0, len(q_ids), 512):
                     ids = q_ids[a : a + 512]
                     scores = _scores(q[a : a + 512], c)
@@ -124,11 +163,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, tile: int = TILE, f
                     line = np.repeat(np.arange(len(ids)), best.shape[1])[~picked.ravel()]
                     column = best.ravel()[~picked.ravel()]
                     yield pa.RecordBatch.from_arrays(
-                        [ids[line], np.full(len(line), row["c_tile"]), c_ids[column], scores[line, column]],
+                        [ids[line], np.full(len(line), c_tile), c_ids[column], scores[line, column]],
                         names=["query_id", "c_tile", "vec_id", "score"],
                     )
 
-    lists = pairs.mapInArrow(product, "query_id long, c_tile long, vec_id long, score long")
+    cells = grid(asked, rows.select("vec_id", "vector"), tile, group)
+    lists = cells.mapInArrow(product, "query_id long, c_tile long, vec_id long, score long")
     entry = F.struct(F.bitwise_not("score").alias("worse"), "vec_id", "score")
 
     def first(entries: Column) -> Column:
