@@ -5,7 +5,9 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import calendar, customers, fact, sales
+from tidemark.operators import calendar, customers, fact, sales, totals
+from tidemark.plans import catalogue
+from tidemark.session import scratch_path
 from tidemark.sources import schemas
 
 
@@ -138,6 +140,46 @@ def test_cube_blocks_and_pivot_agree(small):
     assert sales.category_year_pivot(cube.where("1 = 0")).columns == ["category", "total_revenue"]
 
 
+@pytest.fixture(scope="module")
+def untidy(spark, small):
+    """Nulls in every key, an order of two customers and states, repeated lines, one product in half of the lines."""
+    more = make_fact(
+        spark,
+        [
+            ("O1", "C9", "2023-01-10", "Delivered", 0, "Toys", "ball", 7.5, -1.25),
+            ("O2", "C1", "2023-03-05", "Returned", 20, "Toys", "ball", 40.0, -5.0),
+            (None, "C4", "2023-05-01", "Delivered", 5, "Toys", "kite", 12.0, 2.0),
+            ("O7", None, "2024-01-01", "Delivered", None, None, "ball", 3.0, 1.0),
+            ("O7", None, "2024-01-01", "Delivered", None, "Food", None, 3.0, 1.0),
+            ("O8", "C5", "2024-02-01", None, 0, "Food", "tea", 9.0, 1.0, None),
+            *[(f"P{i}", f"D{i % 9}", f"2024-03-{1 + i % 28:02d}", "Delivered", i % 3, "Toys", "ball", 1.0 * i, 0.5) for i in range(40)],
+        ],
+    )
+    return small.union(more).union(more.limit(2))
+
+
+def test_totals_answer_every_named_report(spark, untidy):
+    orders, products = totals.save_totals(untidy, scratch_path(spark, "totals"))
+    assert orders.count() == untidy.select(*totals.ORDER_KEYS).distinct().count()
+    assert products.count() == untidy.select(*totals.PRODUCT_KEYS).distinct().count()
+    for name, report in (catalogue.SALES_REPORTS | catalogue.SALES_TABLES).items():
+        shared = report(products if name in catalogue.BY_PRODUCT else orders)
+        whole = report(untidy)
+        assert shared.columns == whole.columns
+        assert sorted(map(str, shared.collect())) == sorted(map(str, whole.collect())), name
+
+
+def test_totals_of_no_lines(spark, untidy):
+    orders, products = totals.save_totals(untidy.where("1 = 0"), scratch_path(spark, "totals"))
+    assert orders.count() == products.count() == 0
+    assert sales.kpi_summary(orders).first()["orders"] == 0
+
+
+def test_totals_read_the_lines_once(untidy):
+    plan = totals.report_totals(untidy)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_sum" in plan
+
+
 def test_every_year_of_the_data_counts(spark):
     rows = [(f"{y}-01", y, "Food", "North", 1, float(y - 1990), 1.0) for y in range(1995, 2004)]
     cube = spark.createDataFrame(rows, "month string, year long, category string, region string, orders long, revenue double, profit double")

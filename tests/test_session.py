@@ -22,3 +22,26 @@ def test_shared_folder_is_the_named_one(spark):
     if named is None:
         pytest.skip("this session names no folder")
     assert named in session.shared_folder(spark)
+
+
+def test_scratch_folder_goes_with_its_block(spark):
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+    from contextvars import copy_context
+
+    def local(path):
+        return path.removeprefix("file:")
+
+    with session.scratch(spark) as outer:
+        kept = session.cut(spark.range(5))
+        with session.scratch(spark) as inner, ThreadPoolExecutor(1) as pool:
+            there = pool.submit(copy_context().run, session.scratch_path, spark, "x").result()
+            assert there.startswith(inner) and inner.startswith(outer)
+            assert session.cut(spark.range(3)).count() == 3 and os.listdir(local(inner))
+        assert not os.path.exists(local(inner)) and kept.count() == 5
+    assert not os.path.exists(local(outer))
+    with pytest.raises(ValueError), session.scratch(spark) as failed:
+        session.cut(spark.range(5))
+        raise ValueError
+    assert not os.path.exists(local(failed))
+    assert session.scratch_path(spark, "x").startswith(session.shared_folder(spark))

@@ -7,7 +7,7 @@ from test_cleaning import frame, person
 
 from tidemark.operators import cleaning, fact, quality, sales
 from tidemark.plans import catalogue
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, shared_folder
 from tidemark.sources import readers, schemas, sinks
 
 CSV = {
@@ -111,6 +111,47 @@ def test_whole_batch(spark, folder):
     assert tests.columns == ["test", "statistic", "p_value", "significant_at_5pct"] and tests.count() == 4
 
 
+def test_batch_leaves_nothing_but_its_results(spark, folder):
+    from test_model import planted
+
+    shared = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
+    out = scratch_path(spark, "clean")
+    catalogue.run_all(spark, readers.read_sales(spark, folder), frame(spark, planted(300)), out)
+    assert set(os.listdir(shared)) - before == {os.path.basename(out)}
+
+
+def test_reports_read_the_fact_once(spark, folder, monkeypatch):
+    """Every table that is written from another names its input files; one of them reads the fact."""
+    from tidemark.operators import customers, totals
+
+    read = {}
+
+    def seen(module, name, label):
+        real = getattr(module, name)
+
+        def noted(df, *rest):
+            read[label(rest)] = df.inputFiles()
+            return real(df, *rest)
+
+        monkeypatch.setattr(module, name, noted)
+
+    seen(sinks, "save", lambda rest: os.path.basename(rest[0]))
+    seen(customers, "cut", lambda rest: f"cut {len(read)}")
+    seen(totals, "save_totals", lambda rest: "totals")
+    out = scratch_path(spark, "once")
+    every = catalogue.SALES_REPORTS | catalogue.SALES_TABLES
+    catalogue.run_sales(spark, readers.read_sales(spark, folder), out, reports=every)
+    assert set(every) <= set(read)
+    assert [name for name, files in read.items() if any("/sales_fact/" in f for f in files)] == ["totals"]
+
+
+def test_reports_of_other_kinds_read_the_fact(spark, folder):
+    out = scratch_path(spark, "own")
+    own = {"units": lambda f: f.groupBy("product_id").sum("quantity"), "kpi_summary": catalogue.SALES_REPORTS["kpi_summary"]}
+    assert catalogue.run_sales(spark, readers.read_sales(spark, folder), out, reports=own) == {"units": 2, "kpi_summary": 1}
+
+
 def test_views_answer_sql(spark, folder):
     people = frame(spark, [person(1), person(2, income=None, attrition="Yes")])
     readers.register(catalogue.views(readers.read_sales(spark, folder), people))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import calendar, cleaning, customers, fact, model, quality, sales, stats, workforce
+from tidemark.operators import calendar, cleaning, customers, fact, model, quality, sales, stats, totals, workforce
+from tidemark.session import scratch, scratch_path
 from tidemark.sources import sinks
 from tidemark.sources.readers import RawSales
 
@@ -39,6 +41,9 @@ SALES_TABLES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "revenue_ytd": calendar.revenue_ytd,
 }
 
+#: The named sales reports that look at single products; all others need no more than orders by category.
+BY_PRODUCT = ("top_products_per_category",)
+
 WORKFORCE_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "attrition_overall": workforce.attrition_overall,
     "attrition_by_department": workforce.attrition_by_department,
@@ -69,19 +74,32 @@ def views(raw: RawSales, raw_employees: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _side_by_side(pool: ThreadPoolExecutor, run: Callable[[str], int], names: list[str]) -> dict[str, int]:
+    """``run`` for every name in the pool, each in a copy of this thread's context (its scratch folder)."""
+    jobs = {name: pool.submit(copy_context().run, run, name) for name in names}
+    return {name: job.result() for name, job in jobs.items()}
+
+
 def save_reports(
-    table: DataFrame, reports: Mapping[str, Callable[[DataFrame], DataFrame]], folder: str, fmt: str = "csv", at_once: int = 8
+    table: DataFrame | Mapping[str, DataFrame],
+    reports: Mapping[str, Callable[[DataFrame], DataFrame]],
+    folder: str,
+    fmt: str = "csv",
+    at_once: int = 8,
 ) -> dict[str, int]:
     """Save each report below ``folder`` under its name; returns rows per report.
 
+    All reports read ``table``, or each the one that ``table`` has under its name.
     Reports do not depend on each other, so a few run at the same time and
     share the cluster. RFM is computed once and read back for its roll-up.
     """
+    source = table if isinstance(table, Mapping) else dict.fromkeys(reports, table)
     names = [n for n in reports if n != "rfm_segment_summary"]
     with ThreadPoolExecutor(at_once) as pool:
-        saved = dict(zip(names, pool.map(lambda n: sinks.save(reports[n](table), f"{folder}/{n}", fmt), names)))
+        saved = _side_by_side(pool, lambda n: sinks.save(reports[n](source[n]), f"{folder}/{n}", fmt), names)
     if "rfm_segment_summary" in reports:
-        rfm = customers.customer_rfm(table) if "customer_rfm" not in saved else _read_rfm(table.sparkSession, folder, fmt)
+        base = source["rfm_segment_summary"]
+        rfm = customers.customer_rfm(base) if "customer_rfm" not in saved else _read_rfm(base.sparkSession, folder, fmt)
         saved["rfm_segment_summary"] = sinks.save(
             customers.rfm_segment_summary(rfm), f"{folder}/rfm_segment_summary", fmt
         )
@@ -99,6 +117,21 @@ def _read_rfm(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
     return spark.read.format(fmt).load(path)
 
 
+def report_sources(
+    sold: DataFrame, reports: Mapping[str, Callable[[DataFrame], DataFrame]]
+) -> dict[str, DataFrame]:
+    """The table that each report reads: the shared totals for the named ones, the fact for any other.
+
+    The totals are written once, so the fact is read once for all named reports.
+    """
+    named = SALES_REPORTS | SALES_TABLES
+    own = {n for n, report in reports.items() if named.get(n) is not report}
+    if own == set(reports):
+        return dict.fromkeys(reports, sold)
+    orders, products = totals.save_totals(sold, scratch_path(sold.sparkSession, "totals"))
+    return {n: sold if n in own else products if n in BY_PRODUCT else orders for n in reports}
+
+
 def run_sales(
     spark: SparkSession,
     raw: RawSales,
@@ -107,7 +140,7 @@ def run_sales(
     reports: Mapping[str, Callable[[DataFrame], DataFrame]] = SALES_REPORTS,
     strict: bool = True,
 ) -> dict[str, int]:
-    """Clean, join and price once into Parquet, then run the sales reports over that table.
+    """Clean, join and price once into Parquet, add up once what reports share, then run the sales reports.
 
     ``strict`` stops the run where an order key repeats or a line has no order.
     """
@@ -117,16 +150,20 @@ def run_sales(
             duplicate_keys=quality.duplicate_keys(orders, "order_id"),
             orphans=quality.orphans(cleaning.clean_order_items(raw.order_items), orders, "order_id"),
         )
-    sinks.save_fact(fact.clean_and_join(raw), f"{folder}/sales_fact")
-    return save_reports(spark.read.parquet(f"{folder}/sales_fact"), reports, folder, fmt)
+    with scratch(spark):
+        joined = fact.clean_and_join(raw)
+        sinks.save_fact(joined, f"{folder}/sales_fact")
+        sold = spark.read.schema(joined.schema).parquet(f"{folder}/sales_fact")
+        return save_reports(report_sources(sold, reports), reports, folder, fmt)
 
 
 def run_workforce(spark: SparkSession, raw_employees: DataFrame, folder: str, fmt: str = "csv") -> dict[str, int]:
     """Clean once into Parquet, check the table, then run the workforce reports over it."""
-    sinks.save(cleaning.clean_employees(raw_employees), f"{folder}/employees_clean", "parquet")
-    employees = spark.read.parquet(f"{folder}/employees_clean")
-    quality.require_valid(employees, "employee_id")
-    return save_reports(employees, WORKFORCE_REPORTS, folder, fmt)
+    with scratch(spark):
+        sinks.save(cleaning.clean_employees(raw_employees), f"{folder}/employees_clean", "parquet")
+        employees = spark.read.parquet(f"{folder}/employees_clean")
+        quality.require_valid(employees, "employee_id")
+        return save_reports(employees, WORKFORCE_REPORTS, folder, fmt)
 
 
 def run_tests_and_model(employees: DataFrame, folder: str, fmt: str = "csv") -> dict[str, int]:
@@ -144,19 +181,23 @@ def run_tests_and_model(employees: DataFrame, folder: str, fmt: str = "csv") ->
 
 
 def run_all(spark: SparkSession, raw: RawSales, raw_employees: DataFrame, folder: str, fmt: str = "csv") -> dict[str, int]:
-    """The whole batch: star export, both catalogues, cleaning log, tests and model."""
-    star = {
-        "dim_customers": sinks.save(cleaning.clean_customers(raw.customers), f"{folder}/sales/dim_customers", fmt),
-        "dim_products": sinks.save(cleaning.clean_products(raw.products), f"{folder}/sales/dim_products", fmt),
-    }
-    counts = run_sales(spark, raw, f"{folder}/sales", fmt, SALES_REPORTS | SALES_TABLES)
-    counts["dedup_report"] = sinks.save(
-        cleaning.dedup_report(cleaning.standard_orders(raw.orders)), f"{folder}/sales/dedup_report", fmt
-    )
-    log = {"cleaning_log": sinks.save(cleaning.cleaning_log(raw_employees), f"{folder}/workforce/cleaning_log", fmt)}
-    people = run_workforce(spark, raw_employees, f"{folder}/workforce", fmt)
-    employees = spark.read.parquet(f"{folder}/workforce/employees_clean")
-    return star | counts | log | people | run_tests_and_model(employees, f"{folder}/workforce", fmt)
+    """The whole batch: star export, both catalogues, cleaning log, tests and model.
+
+    Tables between its passes are gone when it returns.
+    """
+    with scratch(spark):
+        star = {
+            "dim_customers": sinks.save(cleaning.clean_customers(raw.customers), f"{folder}/sales/dim_customers", fmt),
+            "dim_products": sinks.save(cleaning.clean_products(raw.products), f"{folder}/sales/dim_products", fmt),
+        }
+        counts = run_sales(spark, raw, f"{folder}/sales", fmt, SALES_REPORTS | SALES_TABLES)
+        counts["dedup_report"] = sinks.save(
+            cleaning.dedup_report(cleaning.standard_orders(raw.orders)), f"{folder}/sales/dedup_report", fmt
+        )
+        log = {"cleaning_log": sinks.save(cleaning.cleaning_log(raw_employees), f"{folder}/workforce/cleaning_log", fmt)}
+        people = run_workforce(spark, raw_employees, f"{folder}/workforce", fmt)
+        employees = spark.read.parquet(f"{folder}/workforce/employees_clean")
+        return star | counts | log | people | run_tests_and_model(employees, f"{folder}/workforce", fmt)
 
 
 def run_catalogue(

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of the innermost ``scratch`` block.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "tidemark") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     spark = (
@@ -48,8 +55,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below the folder of the ``scratch`` block it is asked in."""
+    base = _scratch.get() or shared_folder(spark)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the tables between passes, deleted when the block ends, also by an error.
+
+    Save what is to stay elsewhere before the block ends: a result that still has
+    to read such a table cannot leave it. Threads take part if they run in a copy
+    of this thread's context.
+    """
+    path = scratch_path(spark, "scratch")
+    token = _scratch.set(path)
+    try:
+        yield path
+    finally:
+        _scratch.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
