@@ -1,4 +1,5 @@
 import json
+import time
 
 import pandas as pd
 import pytest
@@ -144,3 +145,33 @@ def test_given_pages_against_the_article_element(spark):
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         plain = re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inner))
         assert found[r.page_id] == " ".join(html.unescape(plain).split())
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ['<a "', '<a ">" ', "<a '", "<a<", "<!", "<!-", "<textarea>", "</textarea ", "<div></p>", "<div>", "</x>", '<p title="', "<p a='b\"c>x", "&", "<"],
+)
+@pytest.mark.parametrize("tail", ["", ">", '">', "'>x</a>"])
+def test_any_markup_is_read_in_linear_time(piece, tail):
+    page = piece * (500_000 // len(piece)) + tail
+    start = time.process_time()
+    html_text.read(page)
+    assert time.process_time() - start < 8
+
+
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ('<p title="a > b">one</p><p>two</p>', ["one", "two"]),
+        ("<p title='a > b' class=\"x>\">one</p>", ["one"]),
+        ('<p title="open>one</p><p>two</p>', ["one", "two"]),
+        ("<p>it's<p title=' >one</p>", ["it's", "one"]),
+        ("<p>3 < 4 <5</p>", ["3 < 4 <5"]),
+        ("<p>one</p><!-- > never closed <p>two", ["one"]),
+        ("<p>one <b", ["one <b"]),
+        ("<textarea>gone</textarea><p>one</p><textarea>kept", ["one", "kept"]),
+        ("<div><p>one</div></p></div>two", ["one", "two"]),
+    ],
+)
+def test_quotes_and_open_ends(page, texts):
+    assert [text for text, _ in html_text.read(page)[1]] == texts

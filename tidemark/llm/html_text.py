@@ -36,7 +36,8 @@ import html
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -83,7 +84,14 @@ _TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre table td th figu
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
+# no repeat gives back what it took, so an attempt that fails costs no more than the rest of the page
+_MARKED = r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)"
+_TOKEN = re.compile(_MARKED + r"""((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+_UNQUOTED = re.compile(_MARKED + r"([^>]*+)>", re.S)
+
+#: Lengths of a page that may be read in vain for ends of quotes.
+ATTEMPTS = 16
+
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[a-z]+")
 
@@ -125,13 +133,46 @@ def _rank(name: str, attributes: dict[str, str], inside: int) -> int:
     return inside
 
 
+def _search(page: str) -> Callable[[int], re.Match[str] | None]:
+    """The next comment, declaration or tag from a place on; in order, the whole page takes time linear in its length.
+
+    Quotes hide a ``>`` in a tag. A tag that its quotes would leave open to the end
+    of the page ends at its next ``>``. Each such tag costs the reading of the rest;
+    after ``ATTEMPTS`` lengths of the page, quotes hide nothing in what is left.
+    """
+    last, spare = page.rfind(">"), ATTEMPTS * len(page)
+
+    def search(at: int) -> re.Match[str] | None:
+        nonlocal spare
+        while (at := page.find("<", at)) >= 0:
+            if at > last and (at := page.find("<!--", at)) < 0:  # only a comment ends without it
+                return None
+            found = _TOKEN.match(page, at) if spare > 0 else None
+            if not found and (found := _UNQUOTED.match(page, at)):
+                spare -= len(page) - at
+            if found:
+                return found
+            at += 1
+        return None
+
+    return search
+
+
 def read(page: str) -> tuple[list[str], list[tuple[str, int]]]:
     """Stream of a page, and the text and linked characters of each slot; a slot is ``#`` and its rank."""
     stream: list[str] = []
     slots: list[tuple[str, int]] = []
     open_tags: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
     parts: list[str] = []
     linked = links = at = 0
+    last = page.rfind(">") + 1
+
+    def end() -> str:
+        ended = open_tags.pop()[0]
+        opened[ended] -= 1
+        return ended
 
     def flush() -> None:
         nonlocal linked
@@ -150,8 +191,9 @@ def read(page: str) -> tuple[list[str], list[tuple[str, int]]]:
             if links:
                 linked += len(text)
 
+    search = _search(page)
     while True:
-        found = _TOKEN.search(page, at)
+        found = search(at)
         take(page[at : found.start() if found else len(page)])
         if not found:
             break
@@ -165,22 +207,26 @@ def read(page: str) -> tuple[list[str], list[tuple[str, int]]]:
         flush()
         links = 0
         if found[1]:
-            if any(n == name for n, _ in open_tags):
-                while open_tags.pop()[0] != name:
+            if opened[name]:
+                while end() != name:
                     pass
                 stream.append(f"/{name}")
             continue
         attributes = _attributes(found[3])
         ends = _ENDS.get(name, ("p",) if name in _BLOCKS else ())
         if open_tags and open_tags[-1][0] in ends:
-            open_tags.pop()
+            end()
         rank = _rank(name, attributes, open_tags[-1][1] if open_tags else 0)
         stream.append(f"{name}:{rank}")
         if name in _RAW:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            # no close from here on is none later on
+            close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at, last)
+            if not close:
+                unclosed.add(name)
             at = close.end() if close else (len(page) if name in ("script", "style") else at)
         elif name not in _VOID and not found[3].rstrip().endswith("/"):
             open_tags.append((name, rank))
+            opened[name] += 1
     flush()
     return stream, slots
 
