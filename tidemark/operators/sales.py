@@ -318,7 +318,10 @@ def category_by_year(
 def category_year_pivot(
     cube: DataFrame, regions: Sequence[str] | None = None, months: Sequence[str] | None = None
 ) -> DataFrame:
-    """Categories by year, one column each for revenue, profit and margin of every year in the data."""
+    """Categories by year, one column each for revenue, profit and margin of every year in the data.
+
+    The years are read first (a handful of rows), so pass a cube that is already computed.
+    """
     rows = category_by_year(cube, regions, months)
     years = [r["year"] for r in rows.select("year").distinct().orderBy("year").collect()]
     shown = ["revenue", "profit", "margin"]

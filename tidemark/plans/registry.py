@@ -150,6 +150,7 @@ _QUERIES: dict[str, Query] = {
     "sales_cube_monthly": _on_fact(sales.sales_cube_monthly),
     "summary_blocks": _on_fact(lambda f: sales.summary_blocks(sales.sales_cube_monthly(f))),
     "category_year_pivot": _on_fact(lambda f: sales.category_by_year(sales.sales_cube_monthly(f))),
+    "category_year_pivot_wide": _on_fact(lambda f: sales.category_year_pivot(cut(sales.sales_cube_monthly(f)))),
     "loss_making_revenue": _on_fact(sales.loss_making_revenue),
     "return_rate_overall": _on_fact(sales.return_rate_overall),
     "top_customers": _on_fact(sales.top_customers),
