@@ -207,3 +207,53 @@ def test_wald_table_matches_newton(staff, people):
         assert math.isclose(row["ci_low"], math.exp(b[i] - 1.959964 * se), rel_tol=1e-4)
         assert math.isclose(row["ci_high"], math.exp(b[i] + 1.959964 * se), rel_tol=1e-4)
         assert math.isclose(row["p_value"], math.erfc(abs(b[i] / se) / math.sqrt(2)), rel_tol=1e-2)
+
+
+def test_the_optimum_is_exact(staff, people):
+    """Newton steps on sums over non-zero places end where dense Newton does, to nine places."""
+    fitted = model.fit(staff)
+    rows = staff.where(~fitted.is_test).toPandas()
+    x = rows[NUM].to_numpy(float)
+    x = (x - x.mean(0)) / x.std(0)
+    flags = [(rows[c] == v).to_numpy(float)[:, None] for c in CAT for v in sorted(set(rows[c]))[1:]]
+    y = (rows["attrition"] == "Yes").to_numpy(float)
+    b, _ = newton(np.hstack([x, *flags]), y, np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))), 1.0)
+    assert np.allclose([fitted.intercept, *fitted.coefficients.values()], b, rtol=0, atol=1e-9)
+
+
+def test_curvature_sums_the_normal_equations(spark):
+    rows = [("Yes", 1.5, "a"), ("No", 0.0, "b"), ("No", -2.0, None), ("Yes", 0.5, "c"), ("No", 1.0, "zz")]
+    df = spark.createDataFrame(rows, "attrition string, v double, kind string")
+    got = model.encode(df, {"v": F.col("v")}, {"kind": ["a", "b", "c"], "none": []}, weight=F.lit(2.0))
+    assert got.names == ["v", "kind_b", "kind_c"]
+    x = np.array([[1, v, k == "b", k == "c"] for _, v, k in rows], float)
+    assert sorted(tuple(r["features"].toArray()) for r in got.rows.collect()) == sorted(map(tuple, x[:, 1:]))
+    b, y = np.array([0.1, -0.4, 0.7, 0.2]), np.array([a == "Yes" for a, _, _ in rows], float)
+    p = 1 / (1 + np.exp(-x @ b))
+    hessian, gradient = model.curvature(got.rows, b)
+    assert np.allclose(hessian, x.T @ (x * (2 * p * (1 - p))[:, None])) and np.allclose(gradient, x.T @ (2 * (p - y)))
+
+
+def test_ten_thousand_levels_train_and_score(spark):
+    """A level is a row of a table, not an expression: the plans stay short."""
+    kind = F.format_string("k%05d", F.col("id") % 10_000)
+    leaves = F.when((F.col("id") % 10_000 < 3_000) | (F.col("id") % 7 == 0), "Yes").otherwise("No")
+    df = spark.range(40_000).select(
+        F.col("id").alias("employee_id"), leaves.alias("attrition"), (F.col("id") % 41).alias("age"), kind.alias("kind")
+    ).cache()
+    fitted = model.fit(df)
+    seen = df.where(~fitted.is_test).agg(F.count_distinct("kind")).first()[0]
+    assert len(fitted.coefficients) == seen > 9_900 > model.DENSE  # age, and all seen levels but the first
+    scored = fitted.score(df)
+    assert scored.columns == [*df.columns, "probability"]
+    assert len(scored._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    often, seldom = (scored.where(f"kind {op} 'k03000'").agg(F.avg("probability")).first()[0] for op in ("<", ">="))
+    assert often > seldom + 0.2
+
+
+def test_a_class_alone_gives_no_step(spark):
+    df = spark.createDataFrame([("No", float(v)) for v in range(5)], "attrition string, v double")
+    rows = model.encode(df, {"v": F.col("v")}, {}).rows
+    start = np.array([-np.inf, 0.0])
+    b, inverse = model.newton(rows, start, 1.0)
+    assert b is start and inverse is None

@@ -198,8 +198,8 @@ _QUERIES: dict[str, Query] = {
     "one_hot_drop_first": lambda s, d: _dummies(cut(cleaning.employee_records(given.raw_employees(s, d)))),
     "stratified_split": lambda s, d: features.stratified_split(cut(cleaning.employee_records(given.raw_employees(s, d)))),
     "class_weights": _on_records(features.class_weights),
-    "attrition_model": _on_staff(model.attrition_model),
-    "attrition_probability": _on_staff(model.attrition_probability),
+    "attrition_model": _on_staff(_rounded(model.attrition_model, 6)),
+    "attrition_probability": _on_staff(_rounded(model.attrition_probability, 6)),
     "roc_auc": _on_staff_once(lambda e: model.roc_auc(workforce.risk_points(e), "risk_points", workforce.left())),
     "classification_report": _on_staff_once(
         lambda e: model.classification_report(workforce.risk_points(e), workforce.left(), _alarm())
@@ -207,7 +207,7 @@ _QUERIES: dict[str, Query] = {
     "model_metrics": _on_staff(model.model_metrics),
     "model_drivers": _on_staff(model.model_drivers),
     "high_risk_employees": _on_staff(model.high_risk_employees),
-    "odds_ratios_wald": _on_staff(model.odds_ratios_wald),
+    "odds_ratios_wald": _on_staff(_p_as_text(_rounded(model.odds_ratios_wald, 6))),
     # catalogue
     "run_catalogue": _run_catalogue,
 }
