@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.exprs import month_number, percent, round_away, rows
 from tidemark.functions.selection import tile_ends
@@ -120,6 +122,13 @@ def rfm_segment_counts(rfm: DataFrame) -> DataFrame:
     return rfm.groupBy("segment").agg(rows().alias("customers")).orderBy("segment")
 
 
+def _beyond(kind: T.DataType) -> Column:
+    """The greatest value of a revenue's type."""
+    if isinstance(kind, T.DecimalType):
+        return F.lit(Decimal((0, (9,) * kind.precision, -kind.scale))).cast(kind)
+    return F.lit(float("inf"))
+
+
 def pareto_customers(fact: DataFrame, k: int = 10) -> DataFrame:
     """Customers in k equal groups from the highest revenue down, with the cumulative share.
 
@@ -130,20 +139,19 @@ def pareto_customers(fact: DataFrame, k: int = 10) -> DataFrame:
     its first revenue).
     """
     per_customer = cut(delivered(fact).groupBy("customer_id").agg(F.sum("revenue").alias("revenue")))
-    down, kind = per_customer.select("customer_id", (-F.col("revenue")).alias("down")), per_customer.schema["customer_id"].dataType
-    r, me = F.col("revenue"), F.col("customer_id")
+    r, me, kind = F.col("revenue"), F.col("customer_id"), per_customer.schema["customer_id"].dataType
+    # a customer without any known revenue comes last
+    down = F.coalesce(-r, _beyond(per_customer.schema["revenue"].dataType))
     decile = F.lit(1)
-    for _, last_down, last_customer in tile_ends(down, k, [], "down", "customer_id"):  # at most k - 1 rows
+    for _, last_down, last_customer in tile_ends(per_customer.select(me, down.alias("down")), k, [], "down", "customer_id"):  # at most k - 1 rows
         tie = F.lit(last_customer).cast(kind)
-        # a revenue is NULL only where all of a customer's are, which cleaning rules out; it would rank first
-        after = r.isNotNull() | (me > tie) if last_down is None else F.coalesce((r < -last_down) | ((r == -last_down) & (me > tie)), F.lit(False))
-        decile = decile + after.cast("int")
+        decile = decile + ((down > last_down) | ((down == last_down) & (me > tie))).cast("int")
     tiles = (
         per_customer.groupBy(decile.alias("decile"))
         .agg(
             rows().alias("customers"),
             F.sum(r).alias("revenue"),
-            F.coalesce(F.sum(F.when(r >= 0, r)), F.max(r)).alias("rise"),
+            F.coalesce(F.sum(F.when(r >= 0, r)), F.max(r), F.lit(0)).alias("rise"),
         )
     )
     earlier = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, -1)
