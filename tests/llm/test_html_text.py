@@ -175,3 +175,44 @@ def test_any_markup_is_read_in_linear_time(piece, tail):
 )
 def test_quotes_and_open_ends(page, texts):
     assert [text for text, _ in html_text.read(page)[1]] == texts
+
+
+def test_cards_inside_the_main_element_are_not_the_story():
+    page = "<main><h1>Head {0}</h1><p>" + "A long story {0}. " * 20 + "</p><section><article><h3>card {0}</h3><p>Short</p></article></section></main>"
+    found = html_text.Extractor(wrapper([page.format(k) for k in range(5)])).text(page.format(3))
+    assert found == "Head 3 " + " ".join(["A long story 3."] * 20)
+
+
+def test_the_host_decides_between_main_and_article():
+    """The same page with two wrappers: a stub of an article, on a host of articles and on one of main elements."""
+    stub = "<main><p>Some words beside it that are longer</p><article><p>Stub</p></article></main>"
+    stories = [f"<main><p>by {k}</p><article><p>{f'Long story {k}. ' * 30}</p></article></main>" for k in range(5)]
+    plain = [f"<main><p>{f'Long story {k}. ' * 30}</p><article><p>Card {k}</p></article></main>" for k in range(5)]
+    assert html_text.Extractor(wrapper([*stories, stub])).text(stub) == "Stub"
+    assert html_text.Extractor(wrapper([*plain, stub])).text(stub) == "Some words beside it that are longer"
+    # a page whose article outweighs the rest of its main element keeps it on any host
+    assert html_text.Extractor(wrapper([*plain, stories[0]])).text(stories[0]) == " ".join(["Long story 0."] * 30)
+
+
+@pytest.mark.parametrize(
+    "beside",
+    [
+        '<article><a href="/7">teaser 7</a></article>',
+        '<article><h3><a href="/7">teaser 7</a></h3><p>What it says in some more words.</p></article>',
+        '<article class="reply-item"><p>I disagree</p></article>',
+        '<section id="responses"><article class="comment-card"><p>I disagree</p></article></section>',
+        '<div class="comment-list"><p>I disagree</p></div>',
+    ],
+)
+def test_articles_beside_the_story_that_are_none_of_it(beside):
+    story = "<h1>Head</h1><p>A story, longer than its teaser, that <a href=x>links</a> a little.</p>"
+    for page in (f"<article>{story}</article>{beside}", f"{beside}<article>{story}</article>", f"<article>{story}{beside}</article>"):
+        assert text(f"<body>{page}</body>") == "Head A story, longer than its teaser, that links a little."
+
+
+def test_parts_of_a_story_in_articles_of_their_own_stay():
+    page = "<article><h1>One</h1><p>First part.</p></article><article><h2>Two</h2><p>Second <a href=x>part</a>.</p></article>"
+    assert text(page) == "One First part. Two Second part."
+    assert text('<article><h2><a href="/1">Linked head</a></h2><p>The only article.</p></article>') == "Linked head The only article."
+    assert text('<article class="post no-comments"><p>kept</p></article>') == "kept"
+    assert text('<article class="comment"><p>The only text.</p></article>') == "The only text."

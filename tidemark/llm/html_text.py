@@ -14,7 +14,10 @@ in the slots of the article. Slots under menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments are never part of it. A
 class or id counts as a whole (``sidebar``, not ``with-sidebar``); inside an
 article ids count for nothing, and headings and text blocks are never dropped by
-name. On a page without an article or main element, slots named like an article are
+name. Of several articles on a page the one with most text that is no link is the
+story; those that lead elsewhere by links, and comments marked up as articles, go.
+Where the main element around them has more text of its own, on the page and on
+all pages of the host, that is the story. On a page without an article or main element, slots named like an article are
 taken alone if they hold at least half of the text left over on the host's pages;
 else the other slots count too, unless they are the same on all pages of the host
 or consist of links.
@@ -74,6 +77,10 @@ _DROPPED_NAMES = frozenset(
         "comment comments disqus respond replies share sharing social related recommended pagination pager toolbar copyright login search"
     ).split()
 )
+_COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: Words beside a dropped one that leave it what it is: ``comment-list``, ``ad-block``; and more for comments alone.
+_AROUND = frozenset("area bar block box container item items list panel section thread widget wrap wrapper".split())
+_AROUND_COMMENTS = _AROUND | frozenset("author body card content entry meta post text user".split())
 #: Dropped only outside an article, which may have a header of its own.
 _OUTER = frozenset("header banner masthead topbar".split())
 _MAIN_NAMES = frozenset("article content main maincontent post entry story".split())
@@ -101,11 +108,13 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 @lru_cache(maxsize=1 << 14)
-def _names(source: str) -> tuple[bool, bool, bool]:
-    """Whether one of these names is dropped, dropped outside an article, or an article's: with all its words."""
+def _names(source: str) -> tuple[bool, bool, bool, bool]:
+    """Whether one of these names is dropped, dropped outside an article, an article's or a comment's: with all its words."""
     found = [words for words in map(set, map(_NAME.findall, source.split())) if words]
     main = any(words <= _MAIN_WORDS and words & _MAIN_NAMES for words in found)
-    return any(words <= _DROPPED_NAMES for words in found), any(words <= _OUTER for words in found), main
+    comment = any(words & _COMMENTS and words <= _COMMENTS | _AROUND_COMMENTS for words in found)
+    dropped = comment or any(words & _DROPPED_NAMES and words <= _DROPPED_NAMES | _AROUND for words in found)
+    return dropped, any(words <= _OUTER for words in found), main, comment
 
 
 def _rank(name: str, attributes: dict[str, str], inside: int) -> int:
@@ -118,13 +127,15 @@ def _rank(name: str, attributes: dict[str, str], inside: int) -> int:
     classes, ids = attributes.get("class", ""), attributes.get("id", "")
     if inside == 3 or name in _TEXTS:
         ids = ""
-    dropped, outer, main = _names(f"{classes} {ids}")
+    dropped, outer, main, comment = _names(f"{classes} {ids}")
     by_name = name not in ("body", "html", "article", "main") and not main and not (inside == 3 and name in _TEXTS)
     if role in _DROPPED_ROLES or (dropped and by_name):
         return -1
     if inside == 0 and (name in _OUTER or role in _OUTER or (outer and not main)) and name not in ("body", "html"):
         return -1
-    if name == "article" and "comment" not in classes.split() or role == "article":
+    if name == "article" or role == "article":
+        if comment:  # a comment beside a story is no part of it, and one outside all stories no story
+            return -1 if inside else 0
         return 3
     if name == "main" or role == "main":
         return max(inside, 2)
@@ -158,15 +169,19 @@ def _search(page: str) -> Callable[[int], re.Match[str] | None]:
     return search
 
 
-def read(page: str) -> tuple[list[str], list[tuple[str, int]]]:
-    """Stream of a page, and the text and linked characters of each slot; a slot is ``#`` and its rank."""
+def read(page: str) -> tuple[list[str], list[tuple[str, int]], list[int]]:
+    """Stream of a page, the text and linked characters of each slot, and its innermost article; a slot is ``#`` and its rank.
+
+    Articles are numbered from 1 in page order; 0 is none.
+    """
     stream: list[str] = []
     slots: list[tuple[str, int]] = []
-    open_tags: list[tuple[str, int]] = []
+    articles: list[int] = []
+    open_tags: list[tuple[str, int, int]] = []
     opened: Counter[str] = Counter()
     unclosed: set[str] = set()
     parts: list[str] = []
-    linked = links = at = 0
+    linked = links = at = numbered = 0
     last = page.rfind(">") + 1
 
     def end() -> str:
@@ -181,6 +196,7 @@ def read(page: str) -> tuple[list[str], list[tuple[str, int]]]:
         if text:
             stream.append(f"#{open_tags[-1][1] if open_tags else 0}")
             slots.append((text, linked))
+            articles.append(open_tags[-1][2] if open_tags else 0)
         linked = 0
 
     def take(text: str) -> None:
@@ -225,10 +241,12 @@ def read(page: str) -> tuple[list[str], list[tuple[str, int]]]:
                 unclosed.add(name)
             at = close.end() if close else (len(page) if name in ("script", "style") else at)
         elif name not in _VOID and not found[3].rstrip().endswith("/"):
-            open_tags.append((name, rank))
+            own = rank == 3 and (name == "article" or attributes.get("role") == "article")
+            numbered += own
+            open_tags.append((name, rank, numbered if own else open_tags[-1][2] if open_tags else 0))
             opened[name] += 1
     flush()
-    return stream, slots
+    return stream, slots, articles
 
 
 # --- wrappers --------------------------------------------------------------
@@ -317,7 +335,7 @@ def align(one: list[tuple], two: list[tuple]) -> list[tuple]:
 
 def of_page(page: str) -> list[tuple]:
     """The wrapper of one page."""
-    stream, slots = read(page)
+    stream, slots, _ = read(page)
 
     def facts(group: list[int]) -> list[int]:
         marks = [zlib.crc32(slots[k][0].encode()) for k in group]
@@ -407,13 +425,16 @@ class Extractor:
         self.bodies = bodies_of(wrapper)
         self.weights = [[self._weight(r, f) for r, f in zip(_ranks(node), facts)] for node, _, facts in wrapper]
         self.known: dict[tuple, list[list[int]]] = {}
-        chars = [0, 0]
+        chars, plain = [0, 0], [0, 0, 0, 0]
         for (_, _, facts), weights in zip(wrapper, self.weights):
             for f, w in zip(facts, weights):
                 if w in (0, 1):
                     chars[w] += f[1]
+                plain[w] += f[1] - f[2] if w >= 0 else 0
         #: Least rank of the slots that are taken beside named ones.
         self.least = 1 if chars[1] >= chars[0] else 0
+        #: Whether the host's main elements hold more text of their own than the articles.
+        self.main = plain[2] > plain[3]
 
     @staticmethod
     def _weight(rank: int, facts: list[int]) -> int:
@@ -423,7 +444,7 @@ class Extractor:
         return -1 if rank == 0 and (fixed or linked >= LINKED * chars) else rank
 
     def text(self, page: str) -> str:
-        stream, slots = read(page)
+        stream, slots, articles = read(page)
         entries = promote(fold(stream), self.bodies, list.__add__)
         nodes = tuple(e[0] for e in entries)
         if nodes not in self.known:
@@ -437,9 +458,33 @@ class Extractor:
                 for k in group:
                     weight[k] = w
         best = max(0, *weight) if weight else 0
+        if best == 3:
+            return " ".join(slots[k][0] for k in self._story(slots, articles, weight))
         best = min(best, self.least) if best == 1 else best
         return " ".join(text for (text, _), w in zip(slots, weight) if w >= best)
 
+    def _story(self, slots: list[tuple[str, int]], articles: list[int], weight: list[int]) -> list[int]:
+        """Slots of the story on a page with articles.
+
+        Where a main element has more text of its own than the articles, on the page
+        and on the host, these are cards beside the story. Else the article with most
+        text that is no link is the story, and others belong to it unless they lead
+        elsewhere: their first slot, or at least ``LINKED`` of their text, is a link.
+        """
+        plain: Counter[int] = Counter()
+        for (text, linked), w in zip(slots, weight):
+            plain[w] += max(0, len(text) - linked)
+        if self.main and plain[2] > plain[3]:
+            return [k for k, w in enumerate(weight) if w == 2]
+        held: dict[int, list[int]] = {}
+        for k, w in enumerate(weight):
+            if w == 3:
+                held.setdefault(articles[k], []).append(k)
+        facts = {a: (sum(len(slots[k][0]) for k in ks), sum(slots[k][1] for k in ks)) for a, ks in held.items()}
+        story = max(facts, key=lambda a: (facts[a][0] - facts[a][1], -a))
+        leads = {a for a, ks in held.items() if slots[ks[0]][1] >= len(slots[ks[0]][0]) or facts[a][1] >= LINKED * facts[a][0]}
+        return [k for k, w in enumerate(weight) if w == 3 and (articles[k] == story or articles[k] not in leads)]
+
 
 def extract(pages: DataFrame, name: str = "text") -> DataFrame:
     """``pages`` with the main text of ``html`` in a column ``name``."""
