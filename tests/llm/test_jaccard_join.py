@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import arrays, jaccard_join
@@ -154,3 +156,25 @@ def test_short_texts_are_one_gram():
     assert np.diff(first).tolist() == [1, 1, 1, 0, 0, 2]
     ids = jaccard_join.set_ids(grams, first)
     assert ids[0] == ids[2] != ids[1]
+
+
+def test_a_group_takes_little_more_than_its_sketches():
+    """A signature shared by many sets: the peak of its task is under 600 bytes a set."""
+    rng, n = np.random.default_rng(5), 30_000
+    rows = rng.integers(0, 256, (n, jaccard_join.SKETCH), dtype=np.uint8)
+    rows[n // 2 :] = rows[: n // 2]
+    table = pa.table({"id": rng.permutation(n), "n": np.full(n, 50), "sketch": pa.array([r.tobytes() for r in rows], pa.binary())})
+    group = jaccard_join._Group(table, 90)
+    assert (group.sketch == rows[np.argsort(table.column("id").to_numpy())]).all()
+    assert (group.middle() == np.median(group.sketch, axis=0)).all()
+    everyone, point = np.arange(n), group.sketch[3].astype(np.int32)
+    assert (group.distances(everyone, point) == np.abs(group.sketch.astype(np.int32) - point).sum(axis=1)).all()
+    some, before = table.slice(0, 2_000), pa.total_allocated_bytes()
+    assert len(jaccard_join._tree(some, 90)) == 0  # no set is near another in these
+    del group
+    tracemalloc.start()
+    group = jaccard_join._Group(table, 90)
+    np.argsort(group.distances(everyone, group.middle()), kind="stable")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak + pa.total_allocated_bytes() - before < 600 * n

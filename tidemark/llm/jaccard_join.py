@@ -256,6 +256,10 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"name": pa.array(names, pa.int64()), "members": pa.array(members, pa.list_(pa.int64()))})
 
 
+#: Sketches of a group that are compared at a time.
+BLOCK = 1024
+
+
 class _Group:
     """Sets that share a signature, by sketch."""
 
@@ -264,18 +268,33 @@ class _Group:
         order = np.argsort(ids)
         self.ids = ids[order]
         self.n = table.column("n").to_numpy()[order]
-        packed = b"".join(table.column("sketch").take(pa.array(order)).to_pylist())
-        self.sketch = np.frombuffer(packed, np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        self.sketch = np.empty((len(order), SKETCH), np.uint8)
+        sketches = table.column("sketch")
+        for a in range(0, len(order), BLOCK):
+            packed = b"".join(sketches.take(pa.array(order[a : a + BLOCK])).to_pylist())
+            self.sketch[a : a + BLOCK] = np.frombuffer(packed, np.uint8).reshape(-1, SKETCH)
         self.percent = percent
 
+    def middle(self) -> np.ndarray:
+        """Median of each place of the sketches, from counts of its values."""
+        below, above = (len(self.sketch) - 1) // 2, len(self.sketch) // 2
+        out = np.empty(SKETCH)
+        for k in range(SKETCH):
+            upto = np.cumsum(np.bincount(self.sketch[:, k], minlength=256))
+            out[k] = np.searchsorted(upto, [below, above], "right").mean()
+        return out
+
+    def distances(self, others: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """Distance of each of the others to a point, a block at a time."""
+        out = np.zeros(len(others), point.dtype)
+        for a in range(0, len(others), BLOCK):
+            out[a : a + BLOCK] = np.abs(self.sketch[others[a : a + BLOCK]] - point).sum(axis=1)
+        return out
+
     def near(self, one: int, others: np.ndarray) -> np.ndarray:
         """Which of the others may be similar to one; never leaves out one that is."""
         most = (self.n[one] + self.n[others]) * (100 - self.percent) // (100 + self.percent)
-        out = np.zeros(len(others), bool)
-        for a in range(0, len(others), 4096):
-            part = others[a : a + 4096]
-            out[a : a + 4096] = np.abs(self.sketch[part] - self.sketch[one]).sum(axis=1) <= most[a : a + 4096]
-        return out
+        return self.distances(others, self.sketch[one].astype(np.int32)) <= most
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -289,8 +308,7 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
 def _tree(table: pa.Table, percent: int) -> pa.Table:
     """Pairs that would join the group as far as its sketches allow: every set with the first found near it."""
     group = _Group(table, percent)
-    middle = np.median(group.sketch, axis=0)
-    by_middle = np.argsort(np.abs(group.sketch - middle).sum(axis=1), kind="stable")
+    by_middle = np.argsort(group.distances(np.arange(len(group.ids)), group.middle()), kind="stable")
     left, right = [], []
     rest = by_middle
     queue: list[int] = []
