@@ -276,7 +276,9 @@ class _Group:
         self.percent = percent
 
     def middle(self) -> np.ndarray:
-        """Median of each place of the sketches, from counts of its values."""
+        """Median of each place of the sketches; of more than a block from counts of its values."""
+        if len(self.sketch) <= BLOCK:
+            return np.median(self.sketch, axis=0)
         below, above = (len(self.sketch) - 1) // 2, len(self.sketch) // 2
         out = np.empty(SKETCH)
         for k in range(SKETCH):
