@@ -178,3 +178,58 @@ def test_a_group_takes_little_more_than_its_sketches():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak + pa.total_allocated_bytes() - before < 600 * n
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_large_sets_need_fewer_signatures_than_grams(percent):
+    """Signatures are what moves: at 0.8 a set of 200 grams once had 500 of them."""
+    rng = np.random.default_rng(percent)
+    scheme = jaccard_join.Scheme(percent)
+    for size in (100, 200, 1000, 5000):
+        grams = rng.integers(1, 1 << 62, 20 * size).astype(np.uint64)
+        assert len(scheme.signatures(grams, np.arange(21) * size)[0]) < 0.75 * len(grams)
+
+
+def test_a_signature_travels_in_twelve_bytes(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(50)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:10])], "doc_id long, text string").coalesce(1)
+    scheme = jaccard_join.Scheme(80)
+    data, offsets = arrays.flat(pa.array(texts))
+    number = len(scheme.signatures(*jaccard_join.gram_sets(data, offsets, 5))[0])
+    rows = jaccard_join._signatures(docs, scheme, 5, 4).collect()
+    assert {r.bucket for r in rows} == {0, 1, 2, 3}
+    assert sum(len(r.keys) for r in rows) == 4 * number and sum(len(r.ids) for r in rows) == 8 * number
+
+
+def test_a_tree_has_every_set_that_is_near_another():
+    rng = np.random.default_rng(11)
+    middles = rng.integers(0, 12, (25, jaccard_join.SKETCH))
+    rows = np.clip(middles[rng.integers(0, 25, 90)] + rng.integers(-1, 2, (90, jaccard_join.SKETCH)) * (rng.random((90, 1)) < 0.6), 0, 255).astype(np.uint8)
+    table = pa.table({"id": rng.permutation(90), "n": rows.sum(axis=1).astype(np.int64), "sketch": pa.array([r.tobytes() for r in rows], pa.binary())})
+    group, everyone = jaccard_join._Group(table, 80), np.arange(90)
+    wanted = {int(group.ids[k]) for k in everyone if group.near(k, everyone[everyone != k]).any()}
+    pairs = jaccard_join._tree(table, 80)
+    assert 0 < len(wanted) < 90 and set(pairs.column("a").to_pylist()) | set(pairs.column("b").to_pylist()) == wanted
+
+
+def test_only_texts_near_another_are_read_again(spark, monkeypatch):
+    """Documents that share a passage meet in a group; their sketches tell that they are not similar."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(60))
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(40)]
+    texts = [f"{passage} {x}" for x in own] + [f"{passage} {own[0]} end"]
+    asked, read = [], jaccard_join._sets
+    monkeypatch.setattr(jaccard_join, "_sets", lambda docs, wanted, n: asked.append(sorted(r.doc_id for r in wanted.collect())) or read(docs, wanted, n))
+    found = jaccard_join.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n=5, percent=80)
+    assert [r.component_id for r in found.orderBy("doc_id").collect()] == [*range(40), 0]
+    assert asked == [[0, 40]]
+
+
+def test_one_of_each_moves_the_texts_once(spark):
+    rows = [(0, "a b c d e f"), (None, "x y z u v w"), (None, "x y z u v w"), (0, "a b c d e f"), (7, "a b c d e f"), (0, None)]
+    single = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), n=5, percent=80)
+    plan = single._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "__h" in x]
+    assert len(moved) == 2, plan  # the texts, and what is kept of them
+    assert sorted(map(str, single.collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in (rows[0], rows[1], rows[5]))

@@ -21,7 +21,9 @@ round in which one of them has enough. Sets so small that only an equal one is
 similar have their own hash as their only signature.
 
 Which of the two a band gets is decided by cost: the signatures a set needs, and
-the grams that are left in each to tell sets apart.
+the grams that are left in each to tell sets apart. A set of 200 grams that may
+differ by a quarter needs about 70 signatures in segments of three or four grams,
+and would need ten times as many with deletions.
 
 A set is indexed in its own band and, if a larger similar set could be in the
 next, there too. Equal sets are folded into one before anything is compared, so
@@ -30,6 +32,10 @@ first compared with the least of them, similar ones are joined into components,
 and only pairs between different components are compared after that: a group of
 near copies costs about its size, not its square.
 
+What moves: signatures once, in 12 bytes each; sketches of the sets that share
+one; and the texts of those whose sketch is close to another's in a group. The
+other texts stay where they are.
+
 Edge cases: null texts and texts without words have an empty set and are linked
 with nothing; a text of fewer words than ``n`` has its whole sequence as its only
 gram; rows without ``doc_id`` are linked like others but never name a component
@@ -52,7 +58,10 @@ from tidemark.llm.rows import all_columns
 from tidemark.session import cut
 
 #: Ratio of the largest to the smallest size in a band.
-BAND = 1.2
+BAND = 1.5
+
+#: What a thin segment costs, in signatures that travel.
+THIN = 5
 
 #: Ways to cut the universe that are tried on a set whose segments are too thin.
 ROUNDS = 16
@@ -74,8 +83,8 @@ class Scheme:
         small = -(-(most + 1) // 2)
         large = most + 1 + np.maximum(4, (most + 1) // 20)
         # cost: signatures a set needs, and how little a segment may have to tell sets apart
-        cost_small = high + small + 10 * high * np.exp(-high / small / 2)
-        cost_large = most + 1 + 10 * high * np.exp(-high / large / 2)
+        cost_small = high + small + THIN * high * np.exp(-high / small / 2)
+        cost_large = most + 1 + THIN * high * np.exp(-high / large / 2)
         self.deletions = cost_small <= cost_large
         # more segments where too few are expected to hold two grams
         for _ in range(50):
@@ -189,9 +198,6 @@ def set_ids(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
 #: Classes of a sketch: how many grams of a set fall into each.
 SKETCH = 256
 
-_INDEXED = "doc_id long, h long, n long, id long, sketch binary, bucket long, keys binary, ids binary"
-
-
 def _sketches(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Grams in each class, held to a byte: two sketches differ by at most what the sets do."""
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -199,50 +205,50 @@ def _sketches(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.minimum(counts, 255).astype(np.uint8).reshape(-1, SKETCH)
 
 
-def _index(docs: DataFrame, scheme: Scheme, n: int, buckets: int) -> DataFrame:
-    """Rows of two kinds: each document with its set's id, size and sketch; and signatures packed by bucket."""
+def _rows(docs: DataFrame, n: int) -> DataFrame:
+    """Each document with its set's id, size and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, stop, data, offsets in arrays.pieces(batch.column(2)):
                 grams, first = gram_sets(data, offsets, n)
-                ids = set_ids(grams, first)
-                size = np.diff(first)
-                sketches = _sketches(grams, first)
-                yield _packed(
-                    stop - row,
-                    doc_id=batch.column(0).slice(row, stop - row),
-                    h=batch.column(1).slice(row, stop - row),
-                    n=pa.array(size),
-                    id=pa.array(ids.view(np.int64)),
-                    sketch=pa.array([x.tobytes() for x in sketches], pa.binary()),
-                )
-                keys, sets = scheme.signatures(grams, first)
-                pairs = np.unique(np.stack([keys, ids[sets]], 1), axis=0) if len(keys) else np.zeros((0, 2), np.uint64)
-                bucket = (pairs[:, 0] % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                parts = [order[a:b] for a, b in zip(edges, [*edges[1:], len(order)])]
-                yield _packed(
-                    len(parts),
-                    bucket=pa.array(bucket[order[edges]]),
-                    keys=pa.array([pairs[p, 0].tobytes() for p in parts], pa.binary()),
-                    ids=pa.array([pairs[p, 1].tobytes() for p in parts], pa.binary()),
-                )
+                sketches = [x.tobytes() for x in _sketches(grams, first)]
+                made = [pa.array(np.diff(first)), pa.array(set_ids(grams, first).view(np.int64)), pa.array(sketches, pa.binary())]
+                given = [batch.column(k).slice(row, stop - row) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*given, *made], names=["doc_id", "h", "n", "id", "sketch"])
 
     text = F.col("text")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text.cast("binary")).mapInArrow(run, _INDEXED)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text.cast("binary")).mapInArrow(
+        run, "doc_id long, h long, n long, id long, sketch binary"
+    )
 
 
-def _packed(rows: int, **columns: pa.Array) -> pa.RecordBatch:
-    names = [f.split()[0] for f in _INDEXED.split(", ")]
-    kinds = [pa.binary() if f.endswith("binary") else pa.int64() for f in _INDEXED.split(", ")]
-    return pa.RecordBatch.from_arrays([columns[n] if n in columns else pa.nulls(rows, t) for n, t in zip(names, kinds)], names=names)
+def _signatures(docs: DataFrame, scheme: Scheme, n: int, buckets: int) -> DataFrame:
+    """``bucket, keys, ids``: signatures dealt by their low half, four bytes of each and the eight of its set.
+
+    Signatures of a bucket that only differ in the low half count as one: their sets meet for nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in arrays.pieces(batch.column(0)):
+                grams, first = gram_sets(data, offsets, n)
+                ids, at = np.unique(set_ids(grams, first), return_index=True)
+                sizes = np.diff(first)[at]
+                keys, sets = scheme.signatures(grams[arrays.ranges(first[at], sizes)], np.concatenate([[0], np.cumsum(sizes)]))
+                bucket = (keys & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                bucket, keys, sets = bucket[order].astype(np.int64), (keys[order] >> np.uint64(32)).astype(np.uint32), ids[sets[order]]
+                edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+                packed = [pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()) for x in (keys, sets)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int64()), *packed], names=["bucket", "keys", "ids"])
+
+    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "bucket long, keys binary, ids binary")
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """The groups of sets that share a signature of this bucket, each with a hash of its members."""
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
+    keys = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()])
     ids = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("ids").to_pylist()])
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
@@ -308,7 +314,11 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
 
 
 def _tree(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs that would join the group as far as its sketches allow: every set with the first found near it."""
+    """Pairs that would join the group as far as its sketches allow: every set with the first found near it.
+
+    A set that has any other near it is in a pair: whichever of two is taken
+    first finds the other, unless that was found before.
+    """
     group = _Group(table, percent)
     by_middle = np.argsort(group.distances(np.arange(len(group.ids)), group.middle()), kind="stable")
     left, right = [], []
@@ -358,6 +368,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long")
 
 
+#: Classes of text hashes; those of the wanted texts are sent to every task, eight bytes each.
+CLASSES = 1 << 20
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``id, grams`` of the sets in ``wanted`` (``id, doc_id, h`` of one document of each)."""
 
@@ -371,6 +385,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
     same = "t.doc_id <=> w.doc_id and t.h = w.h"
+    # texts of no wanted class of hashes need not move
+    texts = texts.withColumn("c", F.expr(f"h & {CLASSES - 1}"))
+    texts = texts.join(F.broadcast(wanted.select(F.expr(f"h & {CLASSES - 1}").alias("c")).distinct()), "c", "left_semi")
     # both sides grow with the documents, so they meet by a shuffle at every size
     found = texts.alias("t").join(wanted.hint("merge").alias("w"), F.expr(same), "left_semi").select("text")
     return found.mapInArrow(run, "id long, grams binary").dropDuplicates(["id"])
@@ -385,11 +402,10 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int =
     scheme = Scheme(percent)
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, ceil(total / bucket_bytes))
-    index = cut(_index(docs, scheme, n, buckets))
-    rows = index.where("bucket is null").select("doc_id", "h", "n", "id", "sketch")
-    signatures = index.where("bucket is not null").select("bucket", "keys", "ids")
+    rows = cut(_rows(docs, n))
+    # from the texts again: signatures are only shuffled, not written beside
     groups = cut(
-        signatures.groupBy("bucket").applyInArrow(_shared, "name long, members array<long>").dropDuplicates(["name"])
+        _signatures(docs, scheme, n, buckets).groupBy("bucket").applyInArrow(_shared, "name long, members array<long>").dropDuplicates(["name"])
     )
     members = groups.select("name", F.explode("members").alias("id"))
     known = cut(
@@ -397,13 +413,16 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int =
         .groupBy("id")
         .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("of"))
     )
-    sets = cut(_sets(docs, known.select("id", "of.doc_id", "of.h"), n))
     sketched = members.join(known.select("id", "n", "sketch"), "id")
-
     tried = cut(sketched.groupBy("name").applyInArrow(lambda t: _tree(t, percent), "a long, b long").distinct())
+
+    # sets outside the tree have no other near them in any group: they need no text and no further comparison
+    near = cut(known.join(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
+    sets = cut(_sets(docs, near.select("id", "of.doc_id", "of.h"), n))
     links = cut(_verify(tried, sets, percent))
     names = components(links)
 
+    sketched = members.join(near.select("id", "n", "sketch"), "id")
     named = sketched.join(names.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_groups = named.groupBy("name").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("name")
     more = (
@@ -438,9 +457,11 @@ def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     found = cut(classes(docs, n, percent))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     kept = found.where("component is not null").groupBy("component").agg(F.min(order).alias("of")).select("of.doc_id", "of.h")
-    marked = docs.withColumn("__h", F.xxhash64("text")).withColumn("__words", F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    same = "d.doc_id <=> k.doc_id and d.__h = k.h"
+    # no key is null, so that one shuffle of the texts serves the join and the repeated rows
+    key = {"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull()}
+    marked = docs.withColumns(key | {"__h": F.xxhash64("text"), "__words": F.col("text").rlike(r"[^\x20\x09-\x0D]")})
     columns = all_columns(docs)
-    chosen = marked.where("__words").alias("d").join(kept.alias("k"), F.expr(same), "left_semi")
-    single = chosen.dropDuplicates(["doc_id", "__h"]).select(*columns)
+    names = [*key, "__h"]
+    chosen = marked.where("__words").join(kept.withColumns(key).select(*key, F.col("h").alias("__h")).hint("merge"), names, "left_semi")
+    single = chosen.dropDuplicates(names).select(*columns)
     return single.unionByName(marked.where("not coalesce(__words, false)").select(*columns))
