@@ -23,7 +23,7 @@ similar have their own hash as their only signature.
 Which of the two a band gets is decided by cost: the signatures a set needs, and
 the grams that are left in each to tell sets apart. A set of 200 grams that may
 differ by a quarter needs about 70 signatures in segments of three or four grams,
-and would need ten times as many with deletions.
+and would need seven times as many with deletions.
 
 A set is indexed in its own band and, if a larger similar set could be in the
 next, there too. Equal sets are folded into one before anything is compared, so
@@ -57,11 +57,14 @@ from tidemark.llm.components import components
 from tidemark.llm.rows import all_columns
 from tidemark.session import cut
 
-#: Ratio of the largest to the smallest size in a band.
-BAND = 1.5
+#: From this similarity on, sets need few signatures, and these can be told apart better.
+CLOSE = 90
 
-#: What a thin segment costs, in signatures that travel.
-THIN = 5
+#: Ratio of the largest to the smallest size in a band, below ``CLOSE`` and from there on.
+BAND = (1.5, 1.2)
+
+#: What a thin segment costs, in signatures that travel, likewise.
+THIN = (5, 10)
 
 #: Ways to cut the universe that are tried on a set whose segments are too thin.
 ROUNDS = 16
@@ -72,8 +75,9 @@ _SEED = np.uint64(0xD6E8FEB86659FD93)
 class Scheme:
     """Bands, and how the sets of each are indexed, for similarity of ``percent`` in the hundred."""
 
-    def __init__(self, percent: int = 90, ratio: float = BAND, largest: int = 1 << 40):
+    def __init__(self, percent: int = 90, largest: int = 1 << 40):
         self.percent = percent
+        ratio, thin = BAND[percent >= CLOSE], THIN[percent >= CLOSE]
         low = [1]
         while low[-1] <= largest:
             low.append(max(low[-1], floor(low[-1] * ratio)) + 1)
@@ -83,8 +87,8 @@ class Scheme:
         small = -(-(most + 1) // 2)
         large = most + 1 + np.maximum(4, (most + 1) // 20)
         # cost: signatures a set needs, and how little a segment may have to tell sets apart
-        cost_small = high + small + THIN * high * np.exp(-high / small / 2)
-        cost_large = most + 1 + THIN * high * np.exp(-high / large / 2)
+        cost_small = high + small + thin * high * np.exp(-high / small / 2)
+        cost_large = most + 1 + thin * high * np.exp(-high / large / 2)
         self.deletions = cost_small <= cost_large
         # more segments where too few are expected to hold two grams
         for _ in range(50):
